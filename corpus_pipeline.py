@@ -1,8 +1,54 @@
-"""A corpus through five operators."""
+"""A corpus through five operators: quality rules, near-duplicates, benchmark leaks, secrets, tokens.
 
-STAGES: list = []
+Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next one's docs. All but the last keep the
+columns of documents and leave clean documents as they are.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from recoflux.llm import common, decontaminate, ngram_join, quality_rules, secrets, sentencepiece_viterbi
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a quality rule rejects."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest doc_id, of each group of linked ones."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the text; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, token counts and the digest of the ids."""
+    return sentencepiece_viterbi.encode(docs, with_tokens=False)
+
+
+STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("secret scans", secret_spans), ("sentencepiece", tokens)]
+
+#: No SQL expresses the Jaccard components or the Viterbi stage; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

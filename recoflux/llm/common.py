@@ -20,12 +20,18 @@ BYTE_VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np
 _powers: list = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names (a temporary one if none is named)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables: the one that the session names; a temporary one only where none is named."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "recoflux-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
