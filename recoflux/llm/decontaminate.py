@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders; windows of WINDOW template
-tokens of the benchmark are hash-joined with those of the documents. Along each alignment the placeholders must be filled consistently: what stands
+tokens, every one of the benchmark and every STRIDE-th of the documents, are hash-joined: each common run of MIN_RUN tokens holds a joined window.
+Along each alignment that a join finds, runs of equal template tokens are laid out in whole, and their placeholders must be filled consistently: what stands
 for one value of the item is one value in the document. Items whose tokens are covered enough by consistent alignments are leaked.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import text_key
 
 WINDOW = 8
+STRIDE = 4
+MIN_RUN = WINDOW + STRIDE - 1  # tokens in a row that count
 LITERALS = 4  # tokens of a window that must be no placeholder
 SHARE = 0.5  # of an item's tokens that must be covered
 BROADCAST_ROWS = 100_000  # benchmark windows (about 40 bytes each) up to which they are broadcast; beyond, both sides are shuffled
@@ -24,14 +27,23 @@ NUMBER, NAME, UNIT, JOINT = "", "", "", ""  # private-use characters
 _TOKEN = f"[\\p{{L}}\\p{{N}}{NUMBER}-{JOINT}]+"
 
 
+def _where(test: Column, then: Column, other: Column) -> Column:
+    return F.when(test, then).otherwise(other)
+
+
 def marked(text: Column) -> Column:
-    """Lower-cased text in which a type mark leads each number, name and unit; separators inside numbers don't split them."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{JOINT}]", " ")
-    t = F.regexp_replace(t, r"(?<=\p{Nd})[.,](?=\p{Nd})", JOINT)
-    t = F.regexp_replace(t, r"(?<=\p{Ll},?\s{1,4})(?=\p{Lu}\p{Ll})", NAME)
-    t = F.lower(t)
-    t = F.regexp_replace(t, rf"(?<=\p{{Nd}}) ?(?=(?:{UNITS})\b)", f" {UNIT}")
-    return F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{JOINT}])(?=\p{{Nd}})", NUMBER)
+    """Lower-cased text in which a type mark leads each number, name and unit; separators inside numbers don't split them.
+
+    Most texts have no digit and no private-use character: cheap tests keep their patterns from running.
+    """
+    t = F.coalesce(text, F.lit(""))
+    own = t.contains(NUMBER) | t.contains(NAME) | t.contains(UNIT) | t.contains(JOINT)
+    t = _where(own, F.regexp_replace(t, f"[{NUMBER}-{JOINT}]", " "), t)
+    t = F.lower(F.regexp_replace(t, r"(\p{Ll},?\s{1,4})(?=\p{Lu}\p{Ll})", f"$1{NAME}"))
+    n = F.regexp_replace(t, r"(\p{Nd})[.,](?=\p{Nd})", f"$1{JOINT}")
+    n = F.regexp_replace(n, rf"(\p{{Nd}}) ?(?=(?:{UNITS})\b)", f"$1 {UNIT}")
+    n = F.regexp_replace(n, rf"(?<![\p{{L}}\p{{N}}{JOINT}])(?=\p{{Nd}})", NUMBER)
+    return _where(text.rlike(r"\p{Nd}"), n, t)
 
 
 def raw_tokens(m: Column) -> Column:
@@ -40,52 +52,52 @@ def raw_tokens(m: Column) -> Column:
 
 def template(m: Column) -> Column:
     """Tokens with each placeholder's value gone."""
-    return F.regexp_extract_all(F.regexp_replace(m, f"([{NUMBER}-{UNIT}])[\\p{{L}}\\p{{N}}{JOINT}]+", "$1"), F.lit(_TOKEN), F.lit(0))
+    return F.regexp_extract_all(_where(m.rlike(f"[{NUMBER}-{UNIT}]"), F.regexp_replace(m, f"([{NUMBER}-{UNIT}])[\\p{{L}}\\p{{N}}{JOINT}]+", "$1"), m), F.lit(_TOKEN), F.lit(0))
 
 
-def with_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """df (text, ...) with tpl, its template tokens, and hashes, those of all its windows; a shorter list is one window.
+def with_windows(df: DataFrame, stride: int) -> DataFrame:
+    """df (text, ...) with tpl, its template tokens, and hashes: of each stride-th window, or of a list under MIN_RUN tokens as a whole.
 
-    Step by step, each its own column: hashes of tokens, then of two, four and eight in a row, each from two of the step before.
+    A column for each step, so that none is computed twice.
     """
-    df = df.withColumn("tpl", template(marked(F.col("text")))).withColumn("hashes", F.transform("tpl", lambda t: F.xxhash64(t)))
-    width = 1
-    while width < window:
-        step = min(width, window - width)
-        later = F.slice("hashes", step + 1, F.greatest(F.size("hashes") - step, F.lit(0)))
-        df = df.withColumn("later", later).withColumn("hashes", F.zip_with("later", F.slice("hashes", 1, F.greatest(F.size("later"), F.lit(0))), lambda b, a: F.xxhash64(a, b)))
-        width += step
-    short = F.when(F.size("tpl") > 0, F.array(F.xxhash64(F.array_join("tpl", " ")))).otherwise(F.array().cast("array<long>"))
-    return df.withColumn("hashes", F.when(F.size("tpl") >= window, F.col("hashes")).otherwise(short)).drop("later")
+    df = df.withColumn("marked", marked(F.col("text"))).withColumn("tpl", template(F.col("marked"))).drop("marked")
+    some = F.transform(F.sequence(F.lit(1), F.size("tpl") - WINDOW + 1, F.lit(stride)), lambda i: F.xxhash64(F.array_join(F.slice("tpl", i, WINDOW), " ")))
+    short = F.when(F.size("tpl") > 0, F.array(F.xxhash64(F.lit(0), F.array_join("tpl", " ")))).otherwise(F.array().cast("array<long>"))
+    return df.withColumn("hashes", F.when(F.size("tpl") >= MIN_RUN, some).otherwise(short))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """hash -> places [(item, ipos)], where an item is (item_id, its own hash)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_key"), "text").distinct()
-    items = with_windows(items).withColumn("n_item", F.size("tpl"))
+    items = with_windows(items, 1).withColumn("n_item", F.size("tpl"))
     rows = items.select("item_id", "item_key", "n_item", "tpl", F.posexplode_outer("hashes").alias("ipos", "hash"))
     piece = F.slice("tpl", F.col("ipos") + 1, WINDOW)
     literals = F.size(F.filter(piece, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    rows = rows.filter("hash is not null").filter((literals >= LITERALS) | (F.col("n_item") < WINDOW))
+    rows = rows.filter("hash is not null").filter((literals >= LITERALS) | (F.col("n_item") < MIN_RUN))
     return rows.groupBy("hash").agg(F.collect_set(F.struct("item_id", "item_key", "n_item", "ipos")).alias("places"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, k1, k2, items: the leaked items (item_id) of each text that has any."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_key"), raw_tokens(marked(F.col("text"))).alias("iraw")).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_key"), raw_tokens(marked(F.col("text"))).alias("iraw"), template(marked(F.col("text"))).alias("itpl")).distinct()
     windows = benchmark_windows(benchmark)
     few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = docs.select("text", *text_key(F.col("text")))
     # outer: else a filter on the array's size is inferred, pushed to the scan and computes every window there once more
-    each = with_windows(keyed).select("k1", "k2", F.posexplode_outer("hashes").alias("pos", "hash"))
+    each = with_windows(keyed, STRIDE).select("k1", "k2", F.posexplode_outer("hashes").alias("nth", "hash")).withColumn("pos", F.col("nth") * STRIDE)
     hits = each.join(F.broadcast(windows) if few else windows, "hash").select("k1", "k2", "pos", F.explode("places").alias("p")).select("k1", "k2", "pos", "p.*")
     # one alignment: the same distance between a document's and an item's tokens; repeated rows give the same places again
-    lines = hits.groupBy("k1", "k2", "item_id", "item_key", "n_item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("at"))
-    per_text = lines.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_key", "n_item", "shift", "at")).alias("lines"))
-    texts = keyed.join(per_text, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    found = texts.select("k1", "k2", raw_tokens(marked(F.col("text"))).alias("draw")).join(per_text, ["k1", "k2"]).select("k1", "k2", "draw", F.explode("lines").alias("l")).select("k1", "k2", "draw", "l.*")
-    found = found.join(items, (found["item_id"].eqNullSafe(items["item_id"])) & (found["item_key"] == items["item_key"])).select("k1", "k2", "draw", "iraw", found["item_id"], found["item_key"], "n_item", "shift", "at")
-    found = found.withColumn("covered", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, F.least(a + WINDOW, F.col("n_item")) - 1)))))
+    lines = hits.select("k1", "k2", "item_id", "item_key", "n_item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+    per_text = lines.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_key", "n_item", "shift")).alias("lines"))
+    texts = keyed.join(per_text.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    found = texts.withColumn("m", marked(F.col("text"))).select("k1", "k2", raw_tokens(F.col("m")).alias("draw"), template(F.col("m")).alias("dtpl"))
+    found = found.join(per_text, ["k1", "k2"]).select("k1", "k2", "draw", "dtpl", F.explode_outer("lines").alias("l")).select("k1", "k2", "draw", "dtpl", "l.*")
+    found = found.join(items, (found["item_id"].eqNullSafe(items["item_id"])) & (found["item_key"] == items["item_key"])).select("k1", "k2", "draw", "dtpl", "iraw", "itpl", found["item_id"], found["item_key"], "n_item", "shift")
+    same = F.transform("itpl", lambda t, i: F.when(t == F.get("dtpl", i + F.col("shift")), F.lit("1")).otherwise(F.lit("0")))
+    found = found.withColumn("same", F.array_join(same, "")).withColumn("run", F.least(F.lit(MIN_RUN), F.col("n_item")))
+    whole = F.repeat(F.lit("1"), F.col("run"))
+    inside = lambda i: F.exists(F.sequence(F.greatest(F.lit(0), i - F.col("run") + 1), i), lambda j: F.substring(F.col("same"), j + 1, F.col("run")) == whole)
+    found = found.withColumn("covered", F.filter(F.sequence(F.lit(0), F.col("n_item") - 1), inside))
     slots = F.filter(F.transform("covered", lambda i: F.struct(F.get("iraw", i).alias("mine"), F.get("draw", i + F.col("shift")).alias("theirs"))), lambda s: s["mine"].rlike(f"^[{NUMBER}-{UNIT}]"))
     found = found.withColumn("pairs", F.array_distinct(slots))
     good = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda s: s["mine"]))) == F.size("pairs"))
@@ -98,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (leaked item_ids, sorted) for each row of docs.
 
     docs: doc_id, text; benchmark: item_id, text (other columns are ignored). Tokens are runs of letters and digits in any case. Items of fewer than
-    WINDOW tokens are leaked only by a text that equals their template. Null and empty texts are clean and leak nothing, as are null
+    MIN_RUN tokens are leaked only by a text that equals their template. Null and empty texts are clean and leak nothing, as are null
     and empty items; an item with a null id marks documents but is not listed. Rows with one text share a result; null doc_ids stay. Empty tables give empty or clean results.
     """
     leaks = find_leaks(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
