@@ -25,8 +25,8 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 20  # counters of the sketch; four bytes each in a broadcast
-SLICES = 16
+SKETCH_BITS = 24  # counters of the sketch; a byte each, the power of two, in a broadcast
+SLICES = 64
 DENSE = 16
 BLOCK = 4096
 LEADERS = 3
@@ -63,7 +63,7 @@ def _nodes(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, node, n of each row; then the task's count sketch of tokens, in slices."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # of this task; 255 is enough to order tokens
     seen: set[int] = set()
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
@@ -72,7 +72,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, n = _nodes(text, h, b - a)
             new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
             tokens = h[new[text]]
-            counts += np.bincount((tokens >> C.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            at, more = np.unique((tokens >> C.U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(counts[at] + more, 255)
             m = b - a
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(node.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
     if seen:
@@ -85,24 +86,26 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zstandard.decompress(blob), np.uint32)
+            x = np.frombuffer(zstandard.decompress(blob), np.uint8)
             total[k] = total[k] + x if k in total else x.astype(np.uint32)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """The summed sketch: 2 ** SKETCH_BITS counters whatever the input."""
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
+def _sketch(described: DataFrame) -> tuple[np.ndarray, float]:
+    """The power of two of each summed counter, 2 ** SKETCH_BITS bytes whatever the input, and the mean count."""
+    out, total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8), 0.0
     parts = described.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary")
-    for r in parts.collect():
-        out[r.slice] += np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint32)
-    return out.ravel()
+    for r in parts.toLocalIterator():
+        x = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint32)
+        out[r.slice] = np.frexp(x.astype(np.float32))[1]
+        total += float(x.sum(dtype=np.uint64))
+    return out.ravel(), total / (1 << SKETCH_BITS)
 
 
 def prefix_keys(text: np.ndarray, h: np.ndarray, n: int, level: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, role) of the index entries; role 1 only looks others up. level: the sketch's count of each token."""
-    order = np.lexsort((h, np.frexp(level.astype(float))[1], text))
-    t, k, f = text[order], h[order], np.frexp(level[order].astype(float))[1] > frequent
+    """(text, key, role) of the index entries; role 1 only looks others up. level: the power of two of each token's count in the sketch."""
+    order = np.lexsort((h, level, text))
+    t, k, f = text[order], h[order], level[order] > frequent
     at = np.searchsorted(t, np.arange(n + 1))
     size = np.diff(at)
     take = size - -(-PERCENT * size // 100) + 2
@@ -225,10 +228,10 @@ def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for a, b, raw, offsets in C.pieces(batch.column(1)):
-            node, _ = _nodes(*shingle_sets(raw, offsets), b - a)
+            node, n = _nodes(*shingle_sets(raw, offsets), b - a)
             ok = np.flatnonzero(node.view(np.int64) & ~1 == batch.column(0).slice(a, b - a).to_numpy())
             data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(ok)), pa.array([to.compress(data[offsets[i] : offsets[i + 1]]) for i in ok], pa.binary())], names=["node", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(ok)), pa.array([to.compress(data[offsets[i] : offsets[i + 1]]) for i in ok], pa.binary()), pa.array(n[ok])], names=["node", "z", "n"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,30 +297,37 @@ def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = C.checkpointed(texts.mapInArrow(_describe, "doc_id long, node long, n long, slice int, counts binary"))
     rows = described.filter("slice is null").select("doc_id", F.col("node").bitwiseAND(F.lit(-2)).alias("node"), "n")
-    counts = _sketch(described)
-    mean = int(counts.sum(dtype=np.uint64)) / len(counts)
+    levels, mean = _sketch(described)
     n_sets = rows.filter("n > 0").agg(F.approx_count_distinct("node")).first()[0]
     frequent = int(np.frexp(max(2048.0, n_sets * frequent_share) + mean)[1])
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(levels)
     parts = 2 * C.shuffle_partitions(spark)
     entries = texts.select("text").mapInArrow(_index(sketch, frequent, parts), "part int, entries binary")
     leads = ", ".join(f"lead{j} long" for j in range(LEADERS))
     groups = C.checkpointed(entries.repartition(parts, "part").mapInArrow(_groups, f"key long, node long, probe boolean, {leads}"))
-    pairs = groups.select("node", F.explode(F.array(*(f"lead{j}" for j in range(LEADERS)))).alias("lead")).filter("node <> lead")
-    pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     wanted = groups.select("node").distinct()
-    chosen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    held = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text").mapInArrow(_with_text, "node long, z binary")
-    bodies = C.checkpointed(held.groupBy("node").agg(F.first("z").alias("z")))
-    left, right = (bodies.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
-    links = C.checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long"))
-    label = components(links)
+    chosen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(wanted, "node")
+    held = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text", "n").mapInArrow(_with_text, "node long, z binary, n long")
+    bodies = C.checkpointed(held.groupBy("node").agg(F.first("z").alias("z"), F.first("n").alias("n")))
+    one, two = (bodies.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
+    size_a, size_b = (bodies.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    links = label = None
+    for j in range(LEADERS):  # each set against one leader of each of its keys that is not yet in its component
+        pairs = groups.select(F.col("node").alias("a"), F.col(f"lead{j}").alias("b")).filter("a <> b").distinct()
+        if label is not None:
+            la, lb = (label.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").filter(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
+        near = F.col("na") * 100 >= F.col("nb") * PERCENT
+        pairs = pairs.join(size_a, "a").join(size_b, "b").filter(near & (F.col("nb") * 100 >= F.col("na") * PERCENT)).select("a", "b")
+        found = C.checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long"))
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
     marked = groups.select("key", "node", "probe").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rest = marked.join(open_.select("key", "size"), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe").join(bodies, "node")
+    rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe").join(bodies.select("node", "z"), "node")
     rest = rest.select("key", "p", "q", "node", "label", "probe", "z").repartition(C.shuffle_partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
     more = C.checkpointed(rest.mapInArrow(_exact, "a long, b long"))
     if not more.isEmpty():
