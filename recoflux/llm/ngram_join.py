@@ -6,7 +6,7 @@ linked set's. So linked sets share a rare token, each indexed alone, or two toke
 more than DENSE frequent tokens in the prefix index those singly in a key space of their own, in which the other sets only look them up.
 
 Only keys with two sets or more survive. Candidates are verified on whole texts: first each set against a few leaders of its keys, then,
-within keys that still hold more than one component, every pair of different components. Keys with more than BLOCK sets are verified in pairs of blocks.
+within keys that still hold more than one component, every pair of different components that sizes and token histograms allow. Keys with more than BLOCK sets are verified in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -228,10 +228,74 @@ def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for a, b, raw, offsets in C.pieces(batch.column(1)):
-            node, n = _nodes(*shingle_sets(raw, offsets), b - a)
+            text, h = shingle_sets(raw, offsets)
+            node, n = _nodes(text, h, b - a)
+            at = np.searchsorted(text, np.arange(b - a + 1))
             ok = np.flatnonzero(node.view(np.int64) & ~1 == batch.column(0).slice(a, b - a).to_numpy())
             data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(ok)), pa.array([to.compress(data[offsets[i] : offsets[i + 1]]) for i in ok], pa.binary()), pa.array(n[ok])], names=["node", "z", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(ok)), pa.array([to.compress(data[offsets[i] : offsets[i + 1]]) for i in ok], pa.binary()), pa.array(n[ok]), pa.array([_histogram(h[at[i] : at[i + 1]]) for i in ok], pa.binary())], names=["node", "z", "n", "hist"])
+
+
+def _histogram(h: np.ndarray) -> bytes:
+    """Counts of a set's tokens in a power of two of ranges, about four in each; empty if a byte can't hold one."""
+    bits = max(4, int(np.ceil(np.log2(max(len(h), 1) / 4))))
+    out = np.bincount((C.mix(h) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return out.astype(np.uint8).tobytes() if out.max() < 128 else b""
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of (key, block, block, node, label, probe, n, histogram), sorted -> the rows with a partner in another component whose
+    size and histogram allow a link: two sets share no more in a range than the smaller count."""
+
+    def rows_of(rows: list[tuple]) -> list[tuple]:
+        rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[6])
+        n, label, probe = np.array([r[6] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        hist = [np.frombuffer(r[7], np.uint8) for r in rows]
+        size = np.array([len(x) for x in hist])
+        keep = size == 0
+        stack: dict[int, np.ndarray] = {}
+        top = np.searchsorted(n, n * 100 // PERCENT, "right")
+        for i in range(len(rows)):
+            j = np.arange(i + 1, top[i])
+            j = j[(label[j] != label[i]) & ~(probe[j] & probe[i])]
+            if not len(j):
+                continue
+            c = int(size[i])
+            odd = (size[j] != c) & (size[j] != 2 * c)
+            if c == 0 or odd.any():  # no bound
+                keep[i] = True
+                keep[j[odd] if c else j] = True
+                j = j[~odd] if c else j[:0]
+            if c not in stack:
+                m = np.zeros((len(rows), c), np.uint8)
+                for k in np.flatnonzero((size == c) | (size == 2 * c)):
+                    m[k] = hist[k] if size[k] == c else hist[k].reshape(-1, 2).sum(axis=1)
+                stack = {c: m}
+            shared = np.minimum(stack[c][j], stack[c][i]).sum(axis=1, dtype=np.int64) if len(j) else np.zeros(0, np.int64)
+            ok = j[linked(shared, n[i], n[j])]
+            if len(ok):
+                keep[i] = True
+                keep[ok] = True
+        return [r[:6] for r, k in zip(rows, keep, strict=True) if k]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        names = ("key", "p", "q", "node", "label", "probe")
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    now, rows, made = None, [], []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r[:3] != now:
+                made += rows_of(rows) if rows else []
+                now, rows = r[:3], []
+            rows.append(r)
+        if made:
+            yield out(made)
+            made = []
+    made += rows_of(rows) if rows else []
+    if made:
+        yield out(made)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +371,8 @@ def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
     groups = C.checkpointed(entries.repartition(parts, "part").mapInArrow(_groups, f"key long, node long, probe boolean, {leads}"))
     wanted = groups.select("node").distinct()
     chosen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(wanted, "node")
-    held = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text", "n").mapInArrow(_with_text, "node long, z binary, n long")
-    bodies = C.checkpointed(held.groupBy("node").agg(F.first("z").alias("z"), F.first("n").alias("n")))
+    held = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text", "n").mapInArrow(_with_text, "node long, z binary, n long, hist binary")
+    bodies = C.checkpointed(held.groupBy("node").agg(*(F.first(c).alias(c) for c in ("z", "n", "hist"))))
     one, two = (bodies.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
     size_a, size_b = (bodies.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
     links = label = None
@@ -327,8 +391,11 @@ def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rest = marked.join(open_.select("key", "size"), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe").join(bodies.select("node", "z"), "node")
-    rest = rest.select("key", "p", "q", "node", "label", "probe", "z").repartition(C.shuffle_partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe")
+    parts, group = C.shuffle_partitions(spark), ["key", "p", "q"]
+    rest = rest.join(bodies.select("node", "n", "hist"), "node").select(*group, "node", "label", "probe", "n", "hist").repartition(parts, *group).sortWithinPartitions(*group)
+    rest = C.checkpointed(rest.mapInArrow(_possible, "key long, p int, q int, node long, label long, probe boolean"))
+    rest = rest.join(bodies.select("node", "z"), "node").select(*group, "node", "label", "probe", "z").repartition(parts, *group).sortWithinPartitions(*group)
     more = C.checkpointed(rest.mapInArrow(_exact, "a long, b long"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
