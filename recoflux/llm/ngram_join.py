@@ -48,13 +48,25 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     short = np.flatnonzero((words > 0) & (words < SHINGLE))
     h = np.concatenate((C.span_hash(sums, a, a + SHINGLE), C.span_hash(sums, at[short], at[short + 1]) ^ words[short].astype(C.U64)))
     t = np.concatenate((t, short))
-    order = np.lexsort((h, t))
+    order = _by_text(t, h)
     h, t = h[order], t[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     return t[new], h[new]
 
 
+def _by_text(t: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by (t, h), from one sort of 64-bit keys unless they leave it open."""
+    if len(t) and int(t.max()) < 1 << 16:
+        key = t.astype(C.U64) << C.U64(48) | h >> C.U64(16)
+        order = np.argsort(key)
+        key = key[order]
+        tie = np.flatnonzero(key[1:] == key[:-1])
+        if (h[order[tie]] == h[order[tie + 1]]).all():
+            return order
+    return np.lexsort((h, t))
+
+
 def _nodes(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each text's set, and the set's size."""
     at = np.searchsorted(text, np.arange(n + 1))
@@ -63,7 +75,7 @@ def _nodes(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, node, n of each row; then the task's count sketch of tokens, in slices."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint8)  # of this task; 255 is enough to order tokens
+    counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of this task; 255 is enough to order tokens
     seen: set[int] = set()
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
@@ -72,12 +84,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node, n = _nodes(text, h, b - a)
             new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
             tokens = h[new[text]]
-            at, more = np.unique((tokens >> C.U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-            counts[at] = np.minimum(counts[at] + more, 255)
+            at = (tokens >> C.U64(64 - SKETCH_BITS)).astype(np.int64)
+            for i in range(0, len(at), 1 << 15):  # a counter stays below 2 ** 16
+                np.add.at(counts, at[i : i + (1 << 15)], 1)
+                counts[at[i : i + (1 << 15)]] = np.minimum(counts[at[i : i + (1 << 15)]], 255)
             m = b - a
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(node.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
     if seen:
-        parts = counts.reshape(SLICES, -1)
+        parts = counts.astype(np.uint8).reshape(SLICES, -1)
         blobs = [zstandard.compress(x.tobytes(), 1) for x in parts]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -104,7 +118,11 @@ def _sketch(described: DataFrame) -> tuple[np.ndarray, float]:
 
 def prefix_keys(text: np.ndarray, h: np.ndarray, n: int, level: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, role) of the index entries; role 1 only looks others up. level: the power of two of each token's count in the sketch."""
-    order = np.lexsort((h, level, text))
+    if n < 1 << 16:  # h ascends within a text, so places stand for it
+        order = np.sort((text.astype(C.U64) << C.U64(8) | level.astype(C.U64)) << C.U64(40) | np.arange(len(h), dtype=C.U64))
+        order = (order & C.U64((1 << 40) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((h, level, text))
     t, k, f = text[order], h[order], level[order] > frequent
     at = np.searchsorted(t, np.arange(n + 1))
     size = np.diff(at)
@@ -142,7 +160,7 @@ def _index(sketch, frequent: int, parts: int):
                 text, h = text[new[text]], h[new[text]]
                 t, key, role = prefix_keys(text, h, b - a, counts[(h >> C.U64(64 - SKETCH_BITS)).astype(np.int64)], frequent)
                 part = ((key >> C.U64(32)) * C.U64(parts) >> C.U64(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
                 rows = np.stack([key, node[t], role.astype(C.U64)], axis=1)[order]
                 at = np.searchsorted(part[order], np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(at))
@@ -159,7 +177,8 @@ def _packed(rows: np.ndarray) -> bytes:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of whole keys -> (key, node, leaders) of keys with two sets or more, one key for each list of sets."""
+    """Entries of whole keys -> (key, node, leaders) of keys with two sets or more. The key given is a hash of the
+    list of its sets, so keys that hold the same sets are one group, in whichever task they are found."""
     held: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,6 +187,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, blobs = held.popitem()
         e = np.frombuffer(b"".join(blobs), C.U64).reshape(-1, 2)
         key, node, probe = e[:, 0], e[:, 1] & ~C.U64(1), (e[:, 1] & C.U64(1)).astype(bool)
+        order = np.argsort(key)  # most keys have one entry; what is left is small
+        some = key[order]
+        more = np.zeros(len(some), bool)
+        more[1:] = some[1:] == some[:-1]
+        more[:-1] |= more[1:]
+        order = order[more]
+        key, node, probe = key[order], node[order], probe[order]
         order = np.lexsort((probe, node, key))
         key, node, probe = key[order], node[order], probe[order]
         new = np.ones(len(key), bool)
@@ -182,7 +208,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = keep[one]
         rows = C.ranges(first[keep], size[keep])
         group = np.repeat(np.arange(len(keep)), size[keep])
-        k, v, p = key[rows], node[rows], probe[rows]
+        k, v, p = np.repeat(C.mix(sign[keep].astype(C.U64) + size[keep].astype(C.U64)), size[keep]), node[rows], probe[rows]
         at = np.cumsum(size[keep]) - size[keep]
         leads = []
         for j in range(LEADERS):
@@ -245,7 +271,8 @@ def _histogram(h: np.ndarray) -> bytes:
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of (key, block, block, node, label, probe, n, histogram), sorted -> the rows with a partner in another component whose
-    size and histogram allow a link: two sets share no more in a range than the smaller count."""
+    size and histogram allow a link: two sets share no more in a range than the smaller count. What is left of a group is named by a hash
+    of its sets, so that equal remainders are verified once."""
 
     def rows_of(rows: list[tuple]) -> list[tuple]:
         rows = sorted({r[3]: r for r in rows}.values(), key=lambda r: r[6])
@@ -276,7 +303,10 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ok):
                 keep[i] = True
                 keep[ok] = True
-        return [r[:6] for r, k in zip(rows, keep, strict=True) if k]
+        left = [r for r, k in zip(rows, keep, strict=True) if k]
+        sign = C.mix(np.array([r[3] for r in left], np.int64).view(C.U64) ^ np.array([r[5] for r in left], bool).astype(C.U64)).sum(dtype=C.U64)
+        name = int(C.mix(np.array([sign + C.U64(len(left))], C.U64)).view(np.int64)[0])
+        return [(name, 0, 0, *r[3:6]) for r in left]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         names = ("key", "p", "q", "node", "label", "probe")
@@ -386,7 +416,7 @@ def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
         found = C.checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long"))
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    marked = groups.select("key", "node", "probe").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = groups.select("key", "node", "probe").dropDuplicates(["key", "node"]).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -394,7 +424,7 @@ def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
     rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe")
     parts, group = C.shuffle_partitions(spark), ["key", "p", "q"]
     rest = rest.join(bodies.select("node", "n", "hist"), "node").select(*group, "node", "label", "probe", "n", "hist").repartition(parts, *group).sortWithinPartitions(*group)
-    rest = C.checkpointed(rest.mapInArrow(_possible, "key long, p int, q int, node long, label long, probe boolean"))
+    rest = C.checkpointed(rest.mapInArrow(_possible, "key long, p int, q int, node long, label long, probe boolean").dropDuplicates(["key", "node"]))
     rest = rest.join(bodies.select("node", "z"), "node").select(*group, "node", "label", "probe", "z").repartition(parts, *group).sortWithinPartitions(*group)
     more = C.checkpointed(rest.mapInArrow(_exact, "a long, b long"))
     if not more.isEmpty():
