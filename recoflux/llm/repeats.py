@@ -29,6 +29,7 @@ from . import common as C
 
 _POS = (1 << 24) - 1
 TILE = 1 << 19
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -167,8 +168,12 @@ def _marks(plan: Plan, itemsize: int):
 def repeated_starts(texts: DataFrame, plan: Plan, itemsize: int) -> DataFrame:
     """(k1, k2, first, last): runs of starts of repeated windows in texts (k1, k2, text), one row per distinct text."""
     rows = texts.select("k1", "k2", "text").mapInArrow(_rows(plan, plan.width), "core long, k1 long, k2 long, at long")
-    often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lists = rows.join(often, "core").groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "n")).alias("runs"))
+    # a core may hold a third of all rows: its count is joined back by core and salt, for the salts that its rows have
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(SALTS)).cast("int"))
+    often = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("n > 1")
+    each = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    often = often.select("core", "n", F.explode(each).alias("salt"))
+    lists = rows.join(often, ["core", "salt"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "at", "n")).alias("runs"))
     held = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs")
     sent = held.mapInArrow(_stretches(plan), "core long, k1 long, k2 long, first long, units binary")
     shards = sent.repartition(C.shuffle_partitions(texts.sparkSession), "core").sortWithinPartitions("core")
