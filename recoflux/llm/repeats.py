@@ -12,7 +12,7 @@ starts somewhere else. No group of all pairs and no index of all suffixes is shu
 4. the starts it finds go back to the texts.
 
 A core with over `hot` rows is sent as narrower classes, whose cores are almost whole windows, so that a hot core is
-spread over many shards.
+spread over many shards. Narrow classes need not nest in the wide ones: each is cut to the hot runs that it overlaps.
 """
 
 from __future__ import annotations
@@ -111,12 +111,13 @@ def _stretches(plan: Plan):
                     got = [(core[~hot], text[~hot], first[~hot], last[~hot])]
                     if hot.any():
                         t2, f2, l2, c2 = core_runs(values, at, plan.window, plan.gram, plan.hot_width)
-                        key = np.unique(text[hot] << 32 | first[hot])
-                        span = dict(zip((text[hot] << 32 | first[hot]).tolist(), last[hot].tolist(), strict=True))
-                        j = np.searchsorted(key, t2 << 32 | f2, "right") - 1
-                        ends = np.array([span[x] for x in key.tolist()])
-                        inside = (j >= 0) & (key[j] >> 32 == t2) & (f2 <= ends[j])
-                        got.append((c2.view(np.int64)[inside], t2[inside], f2[inside], l2[inside]))
+                        # a narrow run may straddle two wide ones: each hot wide run that it overlaps takes its own part of it
+                        order = np.argsort(text[hot] << 32 | first[hot])
+                        f1, l1 = first[hot][order], last[hot][order]
+                        lo = np.searchsorted(text[hot][order] << 32 | l1, t2 << 32 | f2)
+                        many = np.maximum(np.searchsorted(text[hot][order] << 32 | f1, t2 << 32 | l2, "right") - lo, 0)
+                        k, w = np.repeat(np.arange(len(t2)), many), C.ranges(lo, many)
+                        got.append((c2.view(np.int64)[k], t2[k], np.maximum(f2[k], f1[w]), np.minimum(l2[k], l1[w])))
                     core, text, first, last = (np.concatenate(x) for x in zip(*got, strict=True))
                     begin, size = at[text] + first, last - first + plan.window
                     step = max(1, (4 << 20) // (plan.window * 2 * units.itemsize))

@@ -91,3 +91,21 @@ def test_hot_cores_are_split(spark, hot):
         def starts(p):
             return sorted({(r.k1, i) for r in R.repeated_starts(df, p, size).collect() for i in range(r.first, r["last"] + 1)})
         assert starts(replace(plan, hot=hot, shard_units=2000)) == starts(plan) != []
+
+
+def test_hot_cores_lose_no_window_at_class_borders(spark):
+    """A passage at several offsets behind other bytes, with `hot` between the counts of neighbouring cores."""
+    from dataclasses import replace
+
+    from recoflux.llm import repeats as R
+
+    r = random.Random(2)
+    some = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    passage = some(1000)
+    texts = [some(300) + passage[cut:] + some(300) for cut in range(0, 300, 3)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string")
+    plan = R.Plan(400, 32, 123, 8, SA._byte_units, SA.repeated_in_shard)
+    want = {(i, 300 + j) for i, cut in enumerate(range(0, 300, 3)) for j in range(1000 - cut - 399) if i or j >= 3}
+    for hot in (0, 30, 60, 97):
+        rows = R.repeated_starts(df, replace(plan, hot=hot), 1).collect()
+        assert want - {(x.k1, i) for x in rows for i in range(x.first, x["last"] + 1)} == set(), hot
