@@ -59,3 +59,16 @@ def test_odd_tables(spark):
     assert D.decontaminate(docs.limit(0), b).collect() == []
     assert not any(r.contaminated for r in D.decontaminate(docs, b.limit(0)).collect())
     assert D.drop_leaks(docs, b).collect() == [] and D.drop_leaks(docs, b.limit(0)).count() == 3
+
+
+def leaked(spark, items, docs):
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {r.doc_id: list(r["items"]) for r in D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+
+
+def test_short_items_and_near_copies(spark):
+    short, eight = "What is the capital of France?", "Which river flows through the old town hall"
+    long = "a farmer keeps hens in the yard behind the barn and sells all their eggs each week"
+    near = long.replace("barn", "shed")  # ten equal tokens, another one, six equal tokens
+    docs = [(1, "they asked us: " + short + " and then left"), (2, "they asked What is the capital of France and then left"), (3, "we know what is the matter"), (4, "he wondered Which river flows through the old town hall today"), (5, "so " * 9 + near + " and on"), (6, "what is the capital of")]
+    assert leaked(spark, [(1, short), (2, eight), (3, long)], docs) == {1: [1], 2: [1], 3: [], 4: [2], 5: [3], 6: []}
