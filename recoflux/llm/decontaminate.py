@@ -109,11 +109,11 @@ def with_windows(df: DataFrame, kinds: set[int]) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """kind, hash -> places [(item, ipos)], where an item is (item_id, its own hash)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_key"), "text").distinct()
-    items = with_windows(items, {WHOLE_TEXT, RICH, *(k + n for k in (OWN, OWN_RAW) for n in range(SHORT, WINDOW + 1))}).withColumnRenamed("n", "n_item")
+    items = with_windows(items, {WHOLE_TEXT, RICH, POOR, *(k + n for k in (OWN, OWN_RAW) for n in range(SHORT, WINDOW + 1))}).withColumnRenamed("n", "n_item")
     rows = items.select("item_id", "item_key", "n_item", "tpl", F.inline_outer("windows")).withColumnRenamed("pos", "ipos")
     n, kind = F.col("n_item"), F.col("kind")
     rich = _literals(F.slice("tpl", F.col("ipos") + 1, WINDOW)) >= F.least(F.lit(LITERALS), n)
-    long = (n > WINDOW) & (kind == RICH) & rich
+    long = (n > WINDOW) & (((kind == RICH) & rich) | (kind == POOR))
     short = (n <= WINDOW) & (((kind == OWN + n) & rich) | ((kind == OWN_RAW + n) & ~rich))
     rows = rows.filter((kind == WHOLE_TEXT) | long | short)
     return rows.groupBy("kind", "hash").agg(F.collect_set(F.struct("item_id", "item_key", "n_item", "ipos")).alias("places"))

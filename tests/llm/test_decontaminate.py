@@ -72,3 +72,11 @@ def test_short_items_and_near_copies(spark):
     near = long.replace("barn", "shed")  # ten equal tokens, another one, six equal tokens
     docs = [(1, "they asked us: " + short + " and then left"), (2, "they asked What is the capital of France and then left"), (3, "we know what is the matter"), (4, "he wondered Which river flows through the old town hall today"), (5, "so " * 9 + near + " and on"), (6, "what is the capital of")]
     assert leaked(spark, [(1, short), (2, eight), (3, long)], docs) == {1: [1], 2: [1], 3: [], 4: [2], 5: [3], 6: []}
+
+
+def test_items_of_numbers_and_names(spark):
+    numbers = "Evaluate 12 + 7 * 45 - 33 / 8 + 91 - 4 * 27 + 60 - 15"
+    names = "The president George Washington met John Adams and Thomas Jefferson near Mount Vernon"
+    brief = "Evaluate 12 + 7 * 45"
+    docs = [(1, "now " * 20 + numbers + " and more"), (2, "they say that " + names + " once"), (3, numbers.replace("1", "3").replace("4", "6") + " x"), (4, "please do: " + brief), (5, "please do: evaluate 13 + 8 * 46")]
+    assert leaked(spark, [(1, numbers), (2, names), (3, brief)], docs) == {1: [1, 3], 2: [2], 3: [], 4: [3], 5: []}
