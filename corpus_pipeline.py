@@ -34,8 +34,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, token counts and the digest of the ids."""
-    return sentencepiece_viterbi.encode(docs, with_tokens=False)
+    """doc_id, lang, source, n_chars, token counts, token ids and their digest."""
+    return sentencepiece_viterbi.encode(docs)
 
 
 STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("secret scans", secret_spans), ("sentencepiece", tokens)]

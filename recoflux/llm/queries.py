@@ -27,7 +27,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_viterbi.encode(docs, with_tokens=False)
+    return sentencepiece_viterbi.encode(docs)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

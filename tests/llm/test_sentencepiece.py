@@ -73,3 +73,15 @@ def test_tables(spark):
     assert got[2].ids_sha256 == hashlib.sha256(b"").hexdigest() and got[0].ids_sha256 == got[1].ids_sha256
     assert [r.text for r in V.decode(V.encode(df)).collect()] == ["one two", "one two", "", "", "a b " * 3]
     assert V.encode(df.limit(0)).collect() == []
+
+
+def test_query_and_pipeline_return_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from recoflux.llm import queries
+
+    docs = spark.createDataFrame([(1, "the river and the hill"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (queries.op4_sentencepiece(spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, docs, "")):
+        rows = {r.doc_id: r for r in made.collect()}
+        assert hashlib.sha256(np.array(rows[1].tokens, np.int32).tobytes()).hexdigest() == rows[1].ids_sha256
+        assert len(rows[1].tokens) == rows[1].n_tokens > 0 and rows[2].tokens == []
