@@ -45,6 +45,7 @@ class Novelty:
     """Marginal compressed bytes under a dictionary of identifiers."""
 
     def __init__(self, words: str = WORDS):
+        self.matches = Matches(words)
         self.of = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
 
     def __call__(self, before: str, token: str, after: str) -> float:
@@ -53,6 +54,27 @@ class Novelty:
         return extra / max(1, len(token.encode()))
 
 
+#: Follows the token or stands in its place, so that matches before it are found in both cases: the compressor looks for none in its last bytes.
+_TAIL = bytes(range(128, 160))
+
+
+class Matches:
+    """Marginal compressed bytes without entropy coding: what of a token is no match, whatever its alphabet and length.
+
+    The context begins with some of the dictionary, so that it is never stored raw.
+    """
+
+    def __init__(self, words: str = WORDS):
+        parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4, write_content_size=False)
+        self.of = zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.start = words[:400]
+
+    def __call__(self, before: str, token: str, after: str) -> float:
+        around = f"{self.start}\n{before}\n{after}\n".encode()
+        extra = len(self.of.compress(around + token.encode() + b"\n" + _TAIL)) - len(self.of.compress(around + _TAIL))
+        return extra / max(1, len(token.encode()))
+
+
 def _hex_runs(raw: np.ndarray) -> np.ndarray:
     """Whether each byte ends sixteen bytes of lower-case hexadecimal."""
     ok = np.zeros(256, bool)
@@ -79,9 +101,12 @@ def scan_text(text: str, novelty: Novelty, has_hex: bool = True) -> list[tuple[i
         if any(a < y and x < b for x, y in taken):
             continue
         token = m[0]
-        if 8 * len(_TURN.findall(token)) < len(token) or not SENSITIVE.search(text, max(0, a - 40), a):
+        turns = len(_TURN.findall(token))
+        if 8 * turns < len(token) or not SENSITIVE.search(text, max(0, a - 40), a):
             continue
-        if novelty(text[max(0, a - 200) : a], token, text[b : b + 200]) >= MIN_NOVELTY:
+        around = text[max(0, a - 200) : a], token, text[b : b + 200]
+        # entropy coding shortens long tokens of few symbols; without it unknown words look new too, so more turns are asked
+        if novelty(*around) >= MIN_NOVELTY or (5 * turns >= len(token) and novelty.matches(*around) >= MIN_NOVELTY):
             out.append((a, b, "novel"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -153,3 +153,15 @@ def test_classifier_separates(spark):
     assert 0.1 < len(held) / 1500 < 0.3 and sum((x.predicted == 1) == marks[x.doc_id] for x in held) > 0.9 * len(held)
     assert QC.score_quality(docs.limit(0), labels).collect() == []
     assert {x.score for x in QC.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_random_tokens_of_any_alphabet_and_context():
+    r, novelty = random.Random(4), S.Novelty()
+    prose = " ".join(r.choice("river mill town built grain old stone house field people water bread hill summer".split()) for _ in range(80))
+    for letters in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        for n in (24, 88, 128, 256):
+            for k in (0, 120, 200):
+                found = sum(any(x[2] in ("novel", "hex") for x in S.scan_text(f"{prose[:k]} Authorization: Bearer {''.join(r.choice(letters) for _ in range(n))} {prose[k : 2 * k]}", novelty)) for _ in range(50))
+                assert found >= 48, (letters, n, k, found)
+    for word in ("paymentGateway3ProviderName", "sessionCookieHandler2Name", "configSettings2Environment3"):
+        assert S.scan_text(f"{prose[:200]} the token {word} {prose[:200]}", novelty) == []
