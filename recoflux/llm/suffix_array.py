@@ -74,10 +74,10 @@ def sorted_lms(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     at = 8
     while True:
         tied = _tied(rank)
-        tied = tied[lms[tied] + at < ends[tied]] if len(tied) else tied
+        # a member that ends just here counts as larger than a longer one; those that ended before differ by their padding
+        tied = tied[lms[tied] + at <= ends[tied]] if len(tied) else tied
         if not len(tied):
             break
-        # all members of a tied group are longer than `at` or all end there: shorter ones differ by their padding
         rank = _dense(rank, packed(lms[tied] + at, ends[tied]), tied)
         at += 8
     hop = 1
