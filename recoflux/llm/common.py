@@ -21,14 +21,22 @@ _powers: list = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and tables: the one that the session names; a temporary one only where none is named."""
+    """The folder for checkpoints and tables: the one that the session names. A temporary one only in local mode, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "recoflux-checkpoints"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -89,7 +97,7 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end]; equal wherever the values are."""
+    """Hash of values[start:end]; equal wherever the values are. For candidates only: some long strings of two values collide."""
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
@@ -110,9 +118,33 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes that don't overlap and stand in order: sums of a mixed value of each byte and its place in the run.
+
+    Unlike a rolling hash (span_hash), it has no family of strings that collide; equality of words and lines rests on it.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    at = np.zeros(len(raw), np.int64)
+    filled = starts[ends > starts]
+    at[filled] = filled
+    place = np.arange(len(raw)) - np.maximum.accumulate(at)
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(mix(BYTE_VALUES[raw] + place.astype(U64) * U64(0x9E3779B97F4A7C15)), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(U64))
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of words."""
-    return span_hash(prefix_sums(BYTE_VALUES[raw]), starts, ends) ^ (ends - starts).astype(U64)
+    return run_hashes(raw, starts, ends)
+
+
+def window_hashes(h: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the `width` values from each start on, in their order."""
+    out = np.full(len(start), width, U64)
+    for j in range(width):
+        out = mix(out * U64(_R) + h[start + j])
+    return out
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,12 +5,18 @@ ones first by a corpus-wide count sketch of fixed size. A set's extended prefix
 linked set's. So linked sets share a rare token, each indexed alone, or two tokens of the frequent class, indexed by pairs. Sets with
 more than DENSE frequent tokens in the prefix index those singly in a key space of their own, in which the other sets only look them up.
 
-Only keys with two sets or more survive. Candidates are verified on whole texts: first each set against a few leaders of its keys, then,
-within keys that still hold more than one component, every pair of different components that sizes and token histograms allow. Keys with more than BLOCK sets are verified in pairs of blocks.
+Clusters of near copies would put each of their sets into the same hundreds of keys. So they are joined first: sets of about one size that
+agree in a minimum hash are verified against one leader of their group, and the links found make components. The index then holds each set with its
+component, and a key whose sets are all of one component is dropped before any row of it is made. This only saves work: every key with two
+components or more is verified in full, every pair of different components that sizes and token histograms allow. Keys with more than
+BLOCK sets are verified in pairs of blocks.
+
+Sets live in one table in the shared folder, bucketed by their hash, so that no join by it exchanges their texts again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +35,9 @@ SKETCH_BITS = 24  # counters of the sketch; a byte each, the power of two, in a
 SLICES = 64
 DENSE = 16
 BLOCK = 4096
-LEADERS = 3
+RARE_MOST = 2048  # sets that the sketch may count for a token that is indexed alone
+MINIMA = 3
+MEMBERS = 1024  # sets that are verified against one copy of their leader
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -39,15 +47,19 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     raw = _LOWER[raw]
     starts, ends, at = C.word_spans(raw, offsets)
     n = len(starts)
-    sums = C.prefix_sums(C.word_hashes(raw, starts, ends) | C.U64(1)) if n else np.zeros(1, C.U64)
+    each = C.word_hashes(raw, starts, ends)
     words = np.diff(at)
     text = np.repeat(np.arange(len(words)), words)
     i = np.arange(n)
     full = i + SHINGLE <= at[text + 1]
     a, t = i[full], text[full]
     short = np.flatnonzero((words > 0) & (words < SHINGLE))
-    h = np.concatenate((C.span_hash(sums, a, a + SHINGLE), C.span_hash(sums, at[short], at[short + 1]) ^ words[short].astype(C.U64)))
-    t = np.concatenate((t, short))
+    found, of = [C.window_hashes(each, a, SHINGLE)], [t]
+    for k in range(1, SHINGLE):
+        i = short[words[short] == k]
+        found.append(C.window_hashes(each, at[i], k))
+        of.append(i)
+    h, t = np.concatenate(found), np.concatenate(of)
     order = _by_text(t, h)
     h, t = h[order], t[order]
     new = np.ones(len(h), bool)
@@ -70,30 +82,49 @@ def _by_text(t: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _nodes(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each text's set, and the set's size."""
     at = np.searchsorted(text, np.arange(n + 1))
-    return C.span_hash(C.prefix_sums(C.mix(h)), at[:-1], at[1:]), np.diff(at)
+    sums = np.concatenate((np.zeros(1, C.U64), np.cumsum(C.mix(h ^ C.U64(0x5E7)))))
+    return C.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(C.U64)), np.diff(at)
+
+
+_TABLE = "kind int, bk long, doc_id long, n long, " + ", ".join(f"m{j} long" for j in range(MINIMA)) + ", z binary, hist binary, slice int, counts binary"
+DOC, SET, COUNTS = 0, 1, 2  # kinds of rows
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, n of each row; then the task's count sketch of tokens, in slices."""
+    """A row for each text (bk deals them evenly), one for each set that is new to the task (bk is its hash), and the task's count sketch of tokens in slices."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of this task; 255 is enough to order tokens
     seen: set[int] = set()
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    to, passed = zstandard.ZstdCompressor(level=1), 0
+    names = [x.split()[0] for x in _TABLE.split(", ")]
+    types = dict(zip(names, [pa.int32(), *[pa.int64()] * (3 + MINIMA), pa.binary(), pa.binary(), pa.int32(), pa.binary()], strict=True))
+
+    def out(m: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], types[k]) if k in columns else pa.nulls(m, types[k]) for k in names], names=names)
+
     for batch in batches:
         for a, b, raw, offsets in C.pieces(batch.column(1)):
             text, h = shingle_sets(raw, offsets)
-            node, n = _nodes(text, h, b - a)
-            new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+            m = b - a
+            node, n = _nodes(text, h, m)
+            node &= ~C.U64(1)
+            dealt = C.mix(node + np.arange(passed, passed + m).astype(C.U64))
+            passed += m
+            yield out(m, kind=np.full(m, DOC, np.int32), bk=dealt.view(np.int64), doc_id=batch.column(0).slice(a, m), n=n, slice=pa.nulls(m, pa.int32()), m0=node.view(np.int64))
+            new = np.array([k > 0 and x not in seen and not seen.add(x) for x, k in zip(node.tolist(), n.tolist(), strict=True)], bool)
             tokens = h[new[text]]
             at = (tokens >> C.U64(64 - SKETCH_BITS)).astype(np.int64)
             for i in range(0, len(at), 1 << 15):  # a counter stays below 2 ** 16
                 np.add.at(counts, at[i : i + (1 << 15)], 1)
                 counts[at[i : i + (1 << 15)]] = np.minimum(counts[at[i : i + (1 << 15)]], 255)
-            m = b - a
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(node.view(np.int64)), pa.array(n), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            some = np.flatnonzero(new)
+            if len(some):
+                at = np.searchsorted(text, np.arange(m + 1))
+                minima = {f"m{j}": np.minimum.reduceat(C.mix(tokens ^ C.U64(j * 0x9E3779B9 + 77)), np.cumsum(n[some]) - n[some]).view(np.int64) for j in range(MINIMA)}
+                data = raw.tobytes()
+                yield out(len(some), kind=np.full(len(some), SET, np.int32), bk=node[some].view(np.int64), n=n[some], **minima, z=[to.compress(data[offsets[i] : offsets[i + 1]]) for i in some], hist=[_histogram(h[at[i] : at[i + 1]]) for i in some])
     if seen:
         parts = counts.astype(np.uint8).reshape(SLICES, -1)
-        blobs = [zstandard.compress(x.tobytes(), 1) for x in parts]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+        yield out(SLICES, kind=np.full(SLICES, COUNTS, np.int32), bk=np.arange(SLICES), slice=np.arange(SLICES, dtype=np.int32), counts=[zstandard.compress(x.tobytes(), 1) for x in parts])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +139,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(described: DataFrame) -> tuple[np.ndarray, float]:
     """The power of two of each summed counter, 2 ** SKETCH_BITS bytes whatever the input, and the mean count."""
     out, total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8), 0.0
-    parts = described.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary")
+    parts = described.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary")
     for r in parts.toLocalIterator():
         x = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint32)
         out[r.slice] = np.frexp(x.astype(np.float32))[1]
@@ -134,7 +165,6 @@ def prefix_keys(text: np.ndarray, h: np.ndarray, n: int, level: np.ndarray, freq
     ft, fk = t[f], k[f]
     if len(ft):
         many = np.bincount(ft, minlength=n)
-        fat = np.searchsorted(ft, np.arange(n + 1))
         dense = many[ft] > DENSE
         out.append((ft, C.mix(fk ^ C.U64(0xDE45E)), np.where(dense, 0, 1)))
         for gap in range(1, DENSE):
@@ -143,41 +173,34 @@ def prefix_keys(text: np.ndarray, h: np.ndarray, n: int, level: np.ndarray, freq
             if len(i):
                 a, b = np.minimum(fk[i], fk[i + gap]), np.maximum(fk[i], fk[i + gap])
                 out.append((ft[i], C.mix(a * C.U64(0x9E3779B97F4A7C15) ^ C.mix(b)), np.zeros(len(i), np.int64)))
-        del fat
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _index(sketch, frequent: int, parts: int):
-    """(part, blob) rows: the entries (key, node, role) of a piece for each of `parts` ranges of keys."""
+    """Rows (node, label, compressed text) -> (part, blob): the entries (key, node, label, role) of a piece for each of `parts` ranges of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sketch.value, set()
-        for batch in batches:
-            for a, b, raw, offsets in C.pieces(batch.column(0), 4 * C.CHUNK):
-                text, h = shingle_sets(raw, offsets)
-                node, _ = _nodes(text, h, b - a)
-                new = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
-                text, h = text[new[text]], h[new[text]]
-                t, key, role = prefix_keys(text, h, b - a, counts[(h >> C.U64(64 - SKETCH_BITS)).astype(np.int64)], frequent)
-                part = ((key >> C.U64(32)) * C.U64(parts) >> C.U64(32)).astype(np.int64)
-                order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-                rows = np.stack([key, node[t], role.astype(C.U64)], axis=1)[order]
-                at = np.searchsorted(part[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_packed(rows[at[i] : at[i + 1]]) for i in some], pa.binary())], names=["part", "entries"])
+        counts, of = sketch.value, zstandard.ZstdDecompressor()
+        for whole in batches:
+            for i in range(0, len(whole), 512):
+                batch = whole.slice(i, 512)
+                node, label = (batch.column(k).to_numpy().view(C.U64) for k in (0, 1))
+                texts = pa.array([of.decompress(x) if x else b"" for x in batch.column(2).to_pylist()], pa.binary())
+                for a, b, raw, offsets in C.pieces(texts, 4 * C.CHUNK):
+                    text, h = shingle_sets(raw, offsets)
+                    t, key, role = prefix_keys(text, h, b - a, counts[(h >> C.U64(64 - SKETCH_BITS)).astype(np.int64)], frequent)
+                    part = ((key >> C.U64(32)) * C.U64(parts) >> C.U64(32)).astype(np.int64)
+                    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+                    rows = np.stack([key, node[a + t] & ~C.U64(1) | role.astype(C.U64), label[a + t]], axis=1)[order]
+                    at = np.searchsorted(part[order], np.arange(parts + 1))
+                    some = np.flatnonzero(np.diff(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())], names=["part", "entries"])
 
     return run
 
 
-def _packed(rows: np.ndarray) -> bytes:
-    """Key and node, eight bytes each; the node's lowest bit gives way to the role."""
-    out = rows[:, :2].copy()
-    out[:, 1] = out[:, 1] & ~C.U64(1) | rows[:, 2]
-    return out.tobytes()
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of whole keys -> (key, node, leaders) of keys with two sets or more. The key given is a hash of the
+    """Entries of whole keys -> (key, node, label, probe) of keys with two components or more. The key given is a hash of the
     list of its sets, so keys that hold the same sets are one group, in whichever task they are found."""
     held: dict[int, list[bytes]] = defaultdict(list)
     for batch in batches:
@@ -185,38 +208,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[part].append(blob)
     while held:
         _, blobs = held.popitem()
-        e = np.frombuffer(b"".join(blobs), C.U64).reshape(-1, 2)
-        key, node, probe = e[:, 0], e[:, 1] & ~C.U64(1), (e[:, 1] & C.U64(1)).astype(bool)
-        order = np.argsort(key)  # most keys have one entry; what is left is small
-        some = key[order]
-        more = np.zeros(len(some), bool)
-        more[1:] = some[1:] == some[:-1]
-        more[:-1] |= more[1:]
-        order = order[more]
-        key, node, probe = key[order], node[order], probe[order]
+        e = np.frombuffer(b"".join(blobs), C.U64).reshape(-1, 3)
+        order = np.argsort(e[:, 0])  # most keys have one entry, or one component; what is left is small
+        key, label = e[order, 0], e[order, 2]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first) if len(first) else np.zeros(0, bool)
+        e = e[order[np.repeat(mixed, size)]]
+        key, node, probe, label = e[:, 0], e[:, 1] & ~C.U64(1), (e[:, 1] & C.U64(1)).astype(bool), e[:, 2]
         order = np.lexsort((probe, node, key))
-        key, node, probe = key[order], node[order], probe[order]
+        key, node, probe, label = key[order], node[order], probe[order], label[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, probe = key[new], node[new], probe[new]
+        key, node, probe, label = key[new], node[new], probe[new], label[new]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         full = np.add.reduceat((~probe).astype(np.int64), first) if len(first) else size
         sign = np.add.reduceat(C.mix(node ^ probe.astype(C.U64)), first) if len(first) else size
-        keep = np.flatnonzero((size > 1) & (full > 0))
+        keep = np.flatnonzero(full > 0)
         _, one = np.unique(np.stack([sign[keep].astype(C.U64), size[keep].astype(C.U64)], axis=1), axis=0, return_index=True)
         keep = keep[one]
         rows = C.ranges(first[keep], size[keep])
-        group = np.repeat(np.arange(len(keep)), size[keep])
-        k, v, p = np.repeat(C.mix(sign[keep].astype(C.U64) + size[keep].astype(C.U64)), size[keep]), node[rows], probe[rows]
-        at = np.cumsum(size[keep]) - size[keep]
-        leads = []
-        for j in range(LEADERS):
-            rank = C.mix(v ^ C.U64(j * 7919 + 1)) >> C.U64(1)
-            rank = np.where(p, rank | C.U64(1 << 63), rank)
-            order = np.lexsort((rank, group))
-            leads.append(v[order[at]][group] if len(at) else v)
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, v)] + [pa.array(p)] + [pa.array(x.view(np.int64)) for x in leads], names=["key", "node", "probe", *(f"lead{j}" for j in range(LEADERS))])
+        name = np.repeat(C.mix(sign[keep].astype(C.U64) + size[keep].astype(C.U64)), size[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (name, node[rows], label[rows])] + [pa.array(probe[rows])], names=["key", "node", "label", "probe"])
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -235,31 +249,27 @@ def linked(inter, size_a, size_b):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> linked (a, b)."""
+    """(lead, node, text), sorted so that each leader's own row comes before those of its members -> linked (a, b)."""
+    now, leader = None, np.zeros(0, C.U64)
     for whole in batches:
         for i in range(0, len(whole), 512):
             batch = whole.slice(i, 512)
-            (ta, ha), (tb, hb) = _sets(batch.column(2)), _sets(batch.column(3))
-            t, h = np.concatenate((ta, tb)), np.concatenate((ha, hb))
-            order = np.lexsort((h, t))
-            t, h = t[order], h[order]
-            same = t[1:][(t[1:] == t[:-1]) & (h[1:] == h[:-1])]
-            n = len(batch)
-            na, nb, inter = (np.bincount(x, minlength=n) for x in (ta, tb, same))
-            yield batch.select([0, 1]).filter(pa.array(linked(inter, na, nb)))
-
-
-def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, compressed text) where the text has that node."""
-    to = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for a, b, raw, offsets in C.pieces(batch.column(1)):
-            text, h = shingle_sets(raw, offsets)
-            node, n = _nodes(text, h, b - a)
-            at = np.searchsorted(text, np.arange(b - a + 1))
-            ok = np.flatnonzero(node.view(np.int64) & ~1 == batch.column(0).slice(a, b - a).to_numpy())
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(ok)), pa.array([to.compress(data[offsets[i] : offsets[i + 1]]) for i in ok], pa.binary()), pa.array(n[ok]), pa.array([_histogram(h[at[i] : at[i + 1]]) for i in ok], pa.binary())], names=["node", "z", "n", "hist"])
+            lead, node = (batch.column(k).to_numpy() for k in (0, 1))
+            t, h = _sets(batch.column(2))
+            at = np.searchsorted(t, np.arange(len(batch) + 1))
+            size = np.diff(at)
+            cuts = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+            good = np.zeros(len(batch), bool)
+            for x, y in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
+                if lead[x] != now or node[x] == lead[x]:
+                    now, leader = (lead[x], h[at[x] : at[x + 1]]) if node[x] == lead[x] else (None, leader[:0])
+                if not len(leader):
+                    continue
+                mine = h[at[x] : at[y]]
+                hit = leader[np.minimum(np.searchsorted(leader, mine), len(leader) - 1)] == mine
+                sums = np.concatenate(([0], np.cumsum(hit)))
+                good[x:y] = linked(sums[at[x + 1 : y + 1] - at[x]] - sums[at[x:y] - at[x]], size[x:y], len(leader)) & (node[x:y] != lead[x])
+            yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(lead[good])], names=["a", "b"])
 
 
 def _histogram(h: np.ndarray) -> bytes:
@@ -378,51 +388,84 @@ def _near(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(linked(int((a[np.minimum(i, len(a) - 1)] == b).sum()), len(a), len(b)))
 
 
-def ngram_join(docs: DataFrame, frequent_share: float = 1 / 32) -> DataFrame:
+def _leader_pairs(sets: DataFrame) -> DataFrame:
+    """(node, lead): sets that agree in a minimum and in a range of sizes, each with the smallest of its group if their sizes allow a link.
+
+    Ranges of ratio 1.6 in two grids: near copies share one range at least.
+    """
+    grid = F.log(F.col("n").cast("double")) / float(np.log(1.6))
+    cells = [F.xxhash64(F.lit(j), F.lit(g), f"m{j}", F.floor(grid + 0.5 * g)) for j in range(MINIMA) for g in (0, 1)]
+    each = sets.select("node", "n", F.explode(F.array(*cells)).alias("cell"))
+    least = each.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("x"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("cell", F.col("x.node").alias("lead"), F.col("x.n").alias("m"))
+    near = (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT)
+    return each.join(least, "cell").filter((F.col("node") != F.col("lead")) & near).select("node", "lead").distinct()
+
+
+def _led_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The linked ones of pairs (node, lead), as (a, b). A leader with many members has copies, so that no task gets them all."""
+    spark = pairs.sparkSession
+    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
+    salt = F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")
+    members = pairs.join(many.filter("copies > 1"), "lead", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).select("node", "lead", salt.alias("salt"))
+    leads = many.select(F.col("lead").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    rows = members.unionByName(leads).join(bodies.select("node", "z"), "node")
+    dealt = rows.repartition(C.shuffle_partitions(spark), "lead", "salt").sortWithinPartitions("lead", "salt", F.col("node") != F.col("lead"))
+    return dealt.select("lead", "node", "z").mapInArrow(_verify, "a long, b long")
+
+
+def ngram_join(docs: DataFrame, rare_most: int = RARE_MOST) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: the smallest doc_id reachable by links, its own included.
 
     docs: doc_id, text (other columns are ignored). Words are lower-cased (A-Z) runs without ASCII white space; a text of fewer than five words is one
     shingle. Null, empty and blank texts have no shingle and link with nothing; they keep their own doc_id. Equal sets, repeated rows
     included, link. A null doc_id stays and is never a component's smallest unless all are null. An empty table gives an empty result.
-    Sets stand for their 63-bit hashes. No pair, link or component is collected; the driver holds the sketch alone.
-    frequent_share: tokens that the sketch counts in more than this share of the different sets (2048 at least) are the frequent class.
+    A very long text is a set like any other, held whole by one task at a time. Sets stand for their 63-bit hashes.
+    No pair, link or component is collected; the driver holds the sketch alone.
+    rare_most: tokens that the sketch counts in more different sets than this are the frequent class.
     """
     spark = docs.sparkSession
+    name = f"ngram_join_{uuid.uuid4().hex}"
+    folder, parts = f"{C.shared_folder(spark)}/{name}", C.shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = C.checkpointed(texts.mapInArrow(_describe, "doc_id long, node long, n long, slice int, counts binary"))
-    rows = described.filter("slice is null").select("doc_id", F.col("node").bitwiseAND(F.lit(-2)).alias("node"), "n")
-    levels, mean = _sketch(described)
-    n_sets = rows.filter("n > 0").agg(F.approx_count_distinct("node")).first()[0]
-    frequent = int(np.frexp(max(2048.0, n_sets * frequent_share) + mean)[1])
+    try:
+        texts.mapInArrow(_describe, _TABLE).repartition(parts, "bk").write.partitionBy("kind").bucketBy(parts, "bk").option("path", folder).saveAsTable(name)
+        table = spark.table(name)
+        out = C.checkpointed(_joined(spark, table, parts, rare_most))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        C.remove_folder(spark, folder)
+    return out
+
+
+def _joined(spark, table: DataFrame, parts: int, rare_most: int) -> DataFrame:
+    rows = table.filter(F.col("kind") == DOC).select("doc_id", F.col("m0").alias("node"), "n")
+    # a set is there once for each task that met it; buckets are by it, so this exchanges nothing
+    bodies = table.filter(F.col("kind") == SET).groupBy(F.col("bk").alias("node")).agg(*(F.first(c).alias(c) for c in ("n", "z", "hist", *(f"m{j}" for j in range(MINIMA)))))
+    levels, mean = _sketch(table.filter(F.col("kind") == COUNTS))
+    frequent = int(np.frexp(rare_most + mean)[1])
     sketch = spark.sparkContext.broadcast(levels)
-    parts = 2 * C.shuffle_partitions(spark)
-    entries = texts.select("text").mapInArrow(_index(sketch, frequent, parts), "part int, entries binary")
-    leads = ", ".join(f"lead{j} long" for j in range(LEADERS))
-    groups = C.checkpointed(entries.repartition(parts, "part").mapInArrow(_groups, f"key long, node long, probe boolean, {leads}"))
-    wanted = groups.select("node").distinct()
-    chosen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(wanted, "node")
-    held = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text", "n").mapInArrow(_with_text, "node long, z binary, n long, hist binary")
-    bodies = C.checkpointed(held.groupBy("node").agg(*(F.first(c).alias(c) for c in ("z", "n", "hist"))))
-    one, two = (bodies.select(F.col("node").alias(k), F.col("z").alias(f"z{k}")) for k in "ab")
-    size_a, size_b = (bodies.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    links = label = None
-    for j in range(LEADERS):  # each set against one leader of each of its keys that is not yet in its component
-        pairs = groups.select(F.col("node").alias("a"), F.col(f"lead{j}").alias("b")).filter("a <> b").distinct()
-        if label is not None:
-            la, lb = (label.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").filter(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
-        near = F.col("na") * 100 >= F.col("nb") * PERCENT
-        pairs = pairs.join(size_a, "a").join(size_b, "b").filter(near & (F.col("nb") * 100 >= F.col("na") * PERCENT)).select("a", "b")
-        found = C.checkpointed(pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-    marked = groups.select("key", "node", "probe").dropDuplicates(["key", "node"]).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    pairs = C.checkpointed(_leader_pairs(bodies.select("node", "n", *(f"m{j}" for j in range(MINIMA)))))
+    links = C.checkpointed(_led_links(pairs, bodies))
+    label = components(links)
+    indexed = bodies.select("node", "z").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "z")
+    entries = indexed.mapInArrow(_index(sketch, frequent, 2 * parts), "part int, entries binary")
+    groups = entries.repartition(2 * parts, "part").mapInArrow(_groups, "key long, node long, label long, probe boolean")
+    marked = C.checkpointed(groups.dropDuplicates(["key", "node"]))
+    # each set against one of its key's that is of another component: most links that are left show there, once for each pair
+    first = marked.groupBy("key").agg(F.min(F.struct("probe", F.xxhash64("node"), "node", "label")).alias("x")).select("key", F.col("x.node").alias("lead"), F.col("x.label").alias("other"))
+    pairs = marked.join(first, "key").filter("label <> other").select("node", "lead").distinct()
+    size_a, size_b = (bodies.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in ("node", "lead"))
+    near = (F.col("n_node") * 100 >= F.col("n_lead") * PERCENT) & (F.col("n_lead") * 100 >= F.col("n_node") * PERCENT)
+    pairs = C.checkpointed(pairs.join(size_a, "node").join(size_b, "lead").filter(near).select("node", "lead"))
+    links = C.checkpointed(links.unionByName(_led_links(pairs, bodies)))
+    label = components(links)
+    marked = marked.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rest = marked.join(open_.select("key", "size"), "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = marked.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe")
-    parts, group = C.shuffle_partitions(spark), ["key", "p", "q"]
+    group = ["key", "p", "q"]
     rest = rest.join(bodies.select("node", "n", "hist"), "node").select(*group, "node", "label", "probe", "n", "hist").repartition(parts, *group).sortWithinPartitions(*group)
     rest = C.checkpointed(rest.mapInArrow(_possible, "key long, p int, q int, node long, label long, probe boolean").dropDuplicates(["key", "node"]))
     rest = rest.join(bodies.select("node", "z"), "node").select(*group, "node", "label", "probe", "z").repartition(parts, *group).sortWithinPartitions(*group)

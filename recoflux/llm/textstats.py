@@ -104,7 +104,7 @@ class Stats:
         end = np.where(last, self.offsets[text + 1], np.append(begin[1:], 1) - 1)
         some = np.searchsorted(self.starts, end) > np.searchsorted(self.starts, begin)
         begin, end, text = begin[some], end[some], text[some]
-        key = C.span_hash(C.prefix_sums(C.BYTE_VALUES[self.raw]), begin, end) ^ (end - begin).astype(C.U64)
+        key = C.run_hashes(self.raw, begin, end)
         _, later = _repeats(text, key)
         return np.bincount(text, minlength=n), np.bincount(text[later], minlength=n)
 
@@ -116,7 +116,7 @@ class Stats:
         i = np.arange(n - width + 1)
         t = self.word_text()
         i = i[t[i] == t[i + width - 1]]
-        again, _ = _repeats(t[i], C.span_hash(C.prefix_sums(h | C.U64(1)), i, i + width))
+        again, _ = _repeats(t[i], C.window_hashes(h, i, width))
         cover = np.zeros(n + 1, np.int64)
         np.add.at(cover, i[again], 1)
         np.add.at(cover, i[again] + width, -1)

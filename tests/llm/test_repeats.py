@@ -109,3 +109,12 @@ def test_hot_cores_lose_no_window_at_class_borders(spark):
     for hot in (0, 30, 60, 97):
         rows = R.repeated_starts(df, replace(plan, hot=hot), 1).collect()
         assert want - {(x.k1, i) for x in rows for i in range(x.first, x["last"] + 1)} == set(), hot
+
+
+def test_suffix_array_sorts_substrings_of_whole_chunks():
+    """A leftmost-smaller substring of eight symbols (a chunk) against a longer one that it begins."""
+    r = random.Random(4)
+    for _ in range(20):
+        b = b"".join(r.choice([b"zbdfhgfcbc", b"zbdfhgfcba", b"zbdfhgfcbcc", b"zq"]) for _ in range(60)) + b"\0"
+        t = np.frombuffer(b, np.uint8)
+        assert SA.suffix_array(t, len(t)).tolist() == sorted(range(len(b)), key=lambda i: b[i:])

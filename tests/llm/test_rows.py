@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from recoflux.llm import common as C
 from recoflux.llm import quality_classifier as QC
 from recoflux.llm import quality_rules as Q
 from recoflux.llm import secrets as S
@@ -165,3 +167,30 @@ def test_random_tokens_of_any_alphabet_and_context():
                 assert found >= 48, (letters, n, k, found)
     for word in ("paymentGateway3ProviderName", "sessionCookieHandler2Name", "configSettings2Environment3"):
         assert S.scan_text(f"{prose[:200]} the token {word} {prose[:200]}", novelty) == []
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_and_lines_that_collide_in_rolling_hashes_differ(spark):
+    """Two words, or lines, of two letters that any polynomial hash modulo 2 ** 64 takes for equal."""
+    from recoflux.llm import ngram_join, suffix_tree
+
+    for n in (1024, 2048):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        _, _, raw, offsets = next(C.pieces(pa.array([f"{a} {b}"])))
+        starts, ends, _ = C.word_spans(raw, offsets)
+        assert len(set(C.word_hashes(raw, starts, ends).tolist())) == 2
+        rest = " ".join(f"w{i}" for i in range(34))
+        rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.n_removed for r in suffix_tree.substring_dedup(df).collect()} == {0}
+        got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string")).collect()}
+        assert got[1].n_dup_lines == 1
+        two = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(two).collect()} == {1: 1, 2: 2, 3: 1}
