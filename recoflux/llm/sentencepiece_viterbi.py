@@ -2,8 +2,9 @@
 
 A text is marked (each space becomes U+2581, one more leads) and cut before each run of marks, where no piece can cross. The distinct
 words that a task has not met are sorted, which walks their trie depth-first: the forward scores of a word are those of the word before it as
-far as the two agree, and only the rest is computed. The best sum of scores wins, a longer last piece on ties. A unigram model's scores are log
-probabilities and taken as they are; a merge model's are ranks, negated, and count as the log probabilities -log(1 + rank) of a Zipf law.
+far as the two agree, and only the rest is computed. With a unigram model's log probabilities the best sum of scores wins, a longer last piece on
+ties. A merge model has no such scores, but merging leaves just one path on which all neighbours stay apart when they alone are merged; so there a step
+scores 0 if its two pieces stay apart and minus infinity if not, and the one finite path is the merge order's own result (Merges).
 Characters without a piece become byte pieces.
 """
 
@@ -36,7 +37,7 @@ class Vocabulary:
     def __init__(self, proto: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.ends: dict = {}
-        self.pieces, self.bytes, low = [], {}, 0.0
+        self.pieces, self.bytes, self.number, low = [], {}, {}, 0.0
         # ranks are whole numbers down from 0; log probabilities are not
         scores = [sp.get_score(i) for i in range(sp.get_piece_size())]
         ranks = all(s <= 0 and s == int(s) for s in scores)
@@ -49,6 +50,7 @@ class Vocabulary:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"the piece {piece!r} crosses words")
                 low = min(low, score)
+                self.number[piece] = i
                 node = self.ends
                 for c in reversed(piece):
                     node = node.setdefault(c, {})
@@ -95,6 +97,85 @@ class Vocabulary:
         return b"".join([kind[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+class Merges(Vocabulary):
+    """A merge model: ids as its merges give them, pair by pair of the best score, the leftmost on ties."""
+
+    def __init__(self, proto: bytes):
+        super().__init__(proto)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.rank = {p: sp.get_score(i) for i, p in enumerate(self.pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        self.apart: dict[str, dict[str, bool]] = {}  # piece -> piece before it ('': none) -> whether they stay two
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging leaves of a short text."""
+        out, rank = list(text), self.rank
+        while len(out) > 1:
+            best = max(range(len(out) - 1), key=lambda i: (rank.get(out[i] + out[i + 1], -math.inf), -i))
+            if out[best] + out[best + 1] not in rank:
+                break
+            out[best : best + 2] = [out[best] + out[best + 1]]
+        return out
+
+    def _stays(self, before: str, piece: str) -> bool:
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
+
+    def encode_sorted(self, words: Sequence[str]) -> Iterator[tuple[str, list[int]]]:
+        back: list[tuple[int, int, str]] = [(0, 0, "")]  # of each prefix: where its last piece begins, its id, the piece
+        last, ends, apart = "", self.ends, self.apart
+        for w in words:
+            same = 0
+            for x, y in zip(last, w):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
+            del back[same + 1 :]
+            for e in range(same, len(w)):
+                node, j, found = ends, e, None
+                while j >= 0:
+                    node = node.get(w[j])
+                    hit = node.get("") if node is not None else None
+                    if hit is not None or j == e:
+                        piece, before = w[j : e + 1], back[j][2] if back[j] else None
+                        known = apart.get(piece)
+                        if known is None:
+                            known = apart[piece] = {}
+                        if before is not None:
+                            ok = known.get(before)
+                            if ok is None:
+                                ok = self._stays(before, piece)
+                                known[before] = ok
+                            if ok:
+                                found = (j, hit[0] if hit is not None else -1, piece)
+                                break
+                    if node is None:
+                        break
+                    j -= 1
+                back.append(found)
+            last, ids, e = w, [], len(w)
+            if back[e] is None:  # pieces that no merges reach in order
+                parts = self.merged(w)
+            else:
+                parts = []
+                while e:
+                    parts.append(back[e][2])
+                    e = back[e][0]
+                parts.reverse()
+            for p in parts:
+                i = self.number.get(p)
+                ids += [i] if i is not None else [self.bytes.get(b, self.unknown_id) for b in p.encode()] if self.bytes else [self.unknown_id]
+            yield w, ids
+
+
+def vocabulary_of(proto: bytes) -> Vocabulary:
+    """Merges for a merge model, whose scores are ranks: whole numbers down from 0."""
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    probe = " \ufb01  a "
+    if sp.normalize(probe) != MARK + probe.replace(" ", MARK):
+        raise ValueError("the model normalises texts")
+    scores = [sp.get_score(i) for i in range(sp.get_piece_size())]
+    return (Merges if all(s <= 0 and s == int(s) for s in scores) else Vocabulary)(proto)
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
@@ -131,7 +212,7 @@ def _encoder(proto: bytes) -> Encoder:
     key = hashlib.sha256(proto).hexdigest()
     if key not in _workers:
         _workers.clear()
-        _workers[key] = Encoder(Vocabulary(proto))
+        _workers[key] = Encoder(vocabulary_of(proto))
     return _workers[key]
 
 
@@ -142,7 +223,8 @@ def load(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, model: str = MODEL, with_tokens: bool = True) -> DataFrame:
     """The columns of docs but text (n_tokens and the like replaced), with n_tokens, n_byte_tokens, tokens (if asked for), ids_sha256 (of int32 little-endian ids) and
-    round_trip: whether decoding gives the text back, U+2581 counting as the space that it decodes to.
+    round_trip: whether decoding gives the text back, U+2581 counting as the space that it decodes to. Ids are the library's own for a merge model and
+    for a unigram model (but for ties) that normalises nothing; other normalisers are refused.
 
     docs: doc_id, text, further columns stay. The model is read by the driver and sent with the tasks. A null or empty text has no
     token and round-trips. Repeated rows stay; an empty table gives an empty result.

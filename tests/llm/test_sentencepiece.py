@@ -85,3 +85,42 @@ def test_query_and_pipeline_return_tokens(spark, tmp_path):
         rows = {r.doc_id: r for r in made.collect()}
         assert hashlib.sha256(np.array(rows[1].tokens, np.int32).tobytes()).hexdigest() == rows[1].ids_sha256
         assert len(rows[1].tokens) == rows[1].n_tokens > 0 and rows[2].tokens == []
+
+
+def test_ids_are_the_library_s():
+    sp, v = sentencepiece.SentencePieceProcessor(model_proto=V.load()), V.vocabulary_of(V.load())
+    assert isinstance(v, V.Merges)
+    r = random.Random(5)
+    odd = ["".join(r.choice("▁▁ab the in ercountry\n\té日本🙂0123.,s ") for _ in range(r.randint(1, 80))) for _ in range(2000)]
+    many = [*texts(), *odd, *("▁" * k + "the" for k in range(40)), *(" " * k for k in range(1, 40)), "a" * 3000, "internationalization" * 50]
+    got = [np.frombuffer(x, np.int32).tolist() for x in V.Encoder(v).encode(many)]
+    assert got == sp.encode(many)
+
+
+def test_unigram_ids_are_the_library_s():
+    """The same pieces with log probabilities, as a unigram model."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(V.load())
+    model.trainer_spec.model_type = 1
+    r = random.Random(6)
+    for i, p in enumerate(model.pieces):
+        if p.type == 1:
+            p.score = -math.log1p(i) - r.random()
+    proto = model.SerializeToString()
+    sp, v = sentencepiece.SentencePieceProcessor(model_proto=proto), V.vocabulary_of(proto)
+    assert not isinstance(v, V.Merges)
+    got = [np.frombuffer(x, np.int32).tolist() for x in V.Encoder(v).encode(texts())]
+    want = sp.encode(texts())
+    assert sum(a != b for a, b in zip(got, want, strict=True)) == 0
+
+
+def test_models_that_normalise_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(V.load())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with pytest.raises(ValueError):
+        V.vocabulary_of(model.SerializeToString())
