@@ -4,7 +4,7 @@ Numbers, names (capitalised words inside a sentence) and units (after a number)
 tokens of the benchmark are hash-joined with every one of the documents: each common run of WINDOW tokens is found. A window with few literals would match
 anywhere and is joined with its values instead; an item of up to WINDOW tokens is one window of its own length. Documents are hashed by the kinds of windows that the benchmark has.
 Along each alignment that a join finds, runs of equal template tokens are laid out in whole, and their placeholders must be filled consistently: what stands
-for one value of the item is one value in the document. Items whose tokens are covered enough by consistent alignments are leaked.
+for one value of the item is one value in the document, and two values stay two. Items whose tokens are covered enough by consistent alignments are leaked.
 """
 
 from __future__ import annotations
@@ -84,6 +84,9 @@ def with_windows(df: DataFrame, kinds: set[int]) -> DataFrame:
         df = df.withColumn("head", F.transform("tpl", lambda t, i: F.when(t == NAME, F.get("rhead", i)).otherwise(t)))
     elif POOR in kinds:
         df = df.withColumn("raw", F.when(F.col("dense"), raw_tokens(F.col("marked"))))
+    # windows are hashes of their tokens' hashes: each token is read once
+    for name in ["tpl", *(["raw", "rhead", "head"] if own else ["raw"] if POOR in kinds else [])]:
+        df = df.withColumn(f"{name}_h", F.transform(name, lambda t: F.xxhash64(t)))
     nil = F.array().cast("array<struct<kind:int,pos:int,hash:long>>")
 
     def one(kind: int, i: Column, *parts: Column) -> Column:
@@ -94,16 +97,16 @@ def with_windows(df: DataFrame, kinds: set[int]) -> DataFrame:
 
     def series(kind: int) -> Column:
         if kind == WHOLE_TEXT:
-            return F.when((F.col("n") > 0) & (F.col("n") < WHOLE), F.array(one(kind, F.lit(1), F.col("tpl")))).otherwise(nil)
+            return F.when((F.col("n") > 0) & (F.col("n") < WHOLE), F.array(one(kind, F.lit(1), F.col("tpl_h")))).otherwise(nil)
         if kind == RICH:
-            return F.when(F.col("n") >= WINDOW, F.transform(starts(WINDOW), lambda i: one(kind, i, F.slice("tpl", i, WINDOW)))).otherwise(nil)
+            return F.when(F.col("n") >= WINDOW, F.transform(starts(WINDOW), lambda i: one(kind, i, F.slice("tpl_h", i, WINDOW)))).otherwise(nil)
         if kind == POOR:
             at = F.filter(starts(WINDOW), lambda i: _literals(F.slice("tpl", i, WINDOW)) < LITERALS)
-            return F.when((F.col("n") >= WINDOW) & F.col("dense"), F.transform(at, lambda i: one(kind, i, F.slice("raw", i, WINDOW)))).otherwise(nil)
-        first, rest, width = ("rhead", "raw", kind - OWN_RAW) if kind > OWN_RAW else ("head", "tpl", kind - OWN)
+            return F.when((F.col("n") >= WINDOW) & F.col("dense"), F.transform(at, lambda i: one(kind, i, F.slice("raw_h", i, WINDOW)))).otherwise(nil)
+        first, rest, width = ("rhead_h", "raw_h", kind - OWN_RAW) if kind > OWN_RAW else ("head_h", "tpl_h", kind - OWN)
         return F.when(F.col("n") >= width, F.transform(starts(width), lambda i: one(kind, i, F.get(first, i - 1), F.slice(rest, i + 1, width - 1)))).otherwise(nil)
 
-    return df.withColumn("windows", F.concat(nil, *(series(k) for k in sorted(kinds)))).drop("marked", "dense", "raw", "rhead", "head")
+    return df.withColumn("windows", F.concat(nil, *(series(k) for k in sorted(kinds)))).drop("marked", "dense", "raw", "rhead", "head", "tpl_h", "raw_h", "rhead_h", "head_h")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -119,6 +122,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "hash").agg(F.collect_set(F.struct("item_id", "item_key", "n_item", "ipos")).alias("places"))
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if it has no more than BROADCAST_ROWS rows (about 16 bytes each); else both sides are shuffled."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, k1, k2, items: the leaked items (item_id) of each text that has any."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_key"), raw_tokens(marked(F.col("text"))).alias("iraw"), template(marked(F.col("text"))).alias("itpl")).distinct()
@@ -134,7 +142,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lines = hits.select("k1", "k2", "item_id", "item_key", "n_item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     # read twice below; without a checkpoint every window would be hashed twice
     per_text = checkpointed(lines.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "item_key", "n_item", "shift")).alias("lines")))
-    texts = keyed.join(per_text.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = keyed.join(small(per_text.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     found = texts.withColumn("m", marked(F.col("text"))).select("k1", "k2", raw_tokens(F.col("m")).alias("draw"), template(F.col("m")).alias("dtpl"))
     found = found.join(per_text, ["k1", "k2"]).select("k1", "k2", "draw", "dtpl", F.explode_outer("lines").alias("l")).select("k1", "k2", "draw", "dtpl", "l.*")
     found = found.join(items, (found["item_id"].eqNullSafe(items["item_id"])) & (found["item_key"] == items["item_key"])).select("k1", "k2", "draw", "dtpl", "iraw", "itpl", found["item_id"], found["item_key"], "n_item", "shift")
@@ -146,10 +154,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.withColumn("covered", F.filter(F.sequence(F.lit(0), F.col("n_item") - 1), inside))
     slots = F.filter(F.transform("covered", lambda i: F.struct(F.get("iraw", i).alias("mine"), F.get("draw", i + F.col("shift")).alias("theirs"))), lambda s: s["mine"].rlike(f"^[{NUMBER}-{UNIT}]"))
     found = found.withColumn("pairs", F.array_distinct(slots))
-    good = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda s: s["mine"]))) == F.size("pairs"))
+    one_to_one = [F.size(F.array_distinct(F.transform("pairs", lambda s: s[side]))) == F.size("pairs") for side in ("mine", "theirs")]
+    good = found.filter(one_to_one[0] & one_to_one[1])
     per_item = good.groupBy("k1", "k2", "item_id", "item_key", "n_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_covered"))
     leaked = per_item.filter(F.col("n_covered") >= F.col("n_item") * SHARE)
-    return leaked.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return checkpointed(leaked.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -160,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and empty items; an item with a null id marks documents but is not listed. Rows with one text share a result; null doc_ids stay. Empty tables give empty or clean results.
     """
     leaks = find_leaks(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text"))).join(leaks, ["k1", "k2"], "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text"))).join(small(leaks), ["k1", "k2"], "left")
     return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
@@ -168,5 +177,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, whose text leaks no item."""
     names = ["__k1", "__k2"]
     leaks = find_leaks(docs.select("doc_id", "text"), benchmark.select("item_id", "text")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    leaks = small(leaks)
     a, b = text_key(F.col("text"))
     return docs.withColumns({"__k1": a, "__k2": b}).join(leaks, names, "left_anti").select(docs.columns)

@@ -190,7 +190,7 @@ def test_words_and_lines_that_collide_in_rolling_hashes_differ(spark):
         rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}")]
         df = spark.createDataFrame(rows, "doc_id long, text string")
         assert {r.n_removed for r in suffix_tree.substring_dedup(df).collect()} == {0}
-        got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string")).collect()}
+        got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string")).collect()}
         assert got[1].n_dup_lines == 1
         two = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
         assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(two).collect()} == {1: 1, 2: 2, 3: 1}
