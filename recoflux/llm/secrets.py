@@ -24,6 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"(?i:bearer|authorization|credential|private|signature|client_id|session|cookie|\bkey|\bauth|\bpwd|\bpass\b|secret|token|passw)")
+NEAR = 40  # characters on either side of a candidate in which a sensitive word is looked for
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = (
@@ -34,9 +35,20 @@ WORDS = (
     "http https www com org net localhost host port path file url uri request response header content length encoding utf-8 base64 json xml "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 example sample test placeholder changeme your_key_here xxxxxxxxxxxxxxxx 0000000000000000"
 )
+#: Parts of long words, so that these are no news to the compressor.
+PARTS = (
+    "ation ition ution tional ment ments ness able ible ibly inter intra trans super under over counter multi semi anti auto micro macro tele photo graph graphy logical ology istic "
+    "ically ative itive ance ence ancy ency ious eous uous ular ulate ified ifying ization isation izing ising ship hood ward wise less fully ingly ated ating ators ories aries isms ively "
+    "ities ought tion sion cture tures there with from this have been were what when where which while would could should about after again against before between during through without "
+    "server client service provider handler manager controller factory builder adapter wrapper context message response status error result option setting parameter argument variable method "
+    "module package library system process thread memory storage database record field column table query update insert select create remove account profile payment gateway customer order "
+    "product address country number identifier internal external national administration communication representation responsibility character"
+)
 MIN_NOVELTY = 0.92  # marginal bytes for each character: a random token finds no match, words and identifiers do
 
 
+PLAIN_NOVELTY, PLAIN_MATCHES = 0.72, 0.98  # asked of a token that hardly changes between kinds of characters: both, the first with entropy coding
+
 #: Letter runs of words are long and few; random tokens change between digits, capitals and small letters all the time.
 _TURN = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 
@@ -44,7 +56,7 @@ _TURN = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 class Novelty:
     """Marginal compressed bytes under a dictionary of identifiers."""
 
-    def __init__(self, words: str = WORDS):
+    def __init__(self, words: str = f"{PARTS} {WORDS}"):
         self.matches = Matches(words)
         self.of = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
 
@@ -64,7 +76,7 @@ class Matches:
     The context begins with some of the dictionary, so that it is never stored raw.
     """
 
-    def __init__(self, words: str = WORDS):
+    def __init__(self, words: str = f"{PARTS} {WORDS}"):
         parameters = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4, write_content_size=False)
         self.of = zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.start = words[:400]
@@ -95,16 +107,21 @@ def scan_text(text: str, novelty: Novelty, has_hex: bool = True) -> list[tuple[i
         out += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     if has_hex:
         out += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    taken = [(a, b) for a, b, _ in out]
+    taken, k, reach = sorted((a, b) for a, b, _ in out), 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(a < y and x < b for x, y in taken):
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach > a or not (SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR)):
             continue
         token = m[0]
         turns = len(_TURN.findall(token))
-        if 8 * turns < len(token) or not SENSITIVE.search(text, max(0, a - 40), a):
-            continue
         around = text[max(0, a - 200) : a], token, text[b : b + 200]
+        if 8 * turns < len(token):
+            if novelty(*around) >= PLAIN_NOVELTY and novelty.matches(*around) >= PLAIN_MATCHES:
+                out.append((a, b, "novel"))
+            continue
         # entropy coding shortens long tokens of few symbols; without it unknown words look new too, so more turns are asked
         if novelty(*around) >= MIN_NOVELTY or (5 * turns >= len(token) and novelty.matches(*around) >= MIN_NOVELTY):
             out.append((a, b, "novel"))
@@ -143,7 +160,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points), n_novel for each row of docs.
 
     docs: doc_id, text (other columns are ignored). A null or empty text has no span. An assignment's span is the whole match.
-    Spans of base patterns may overlap each other; a novel span overlaps none of them. A null doc_id stays; an empty table gives an empty result.
+    Spans of base patterns may overlap each other; a novel span overlaps none of them. A null doc_id stays, repeated rows too; an empty table gives an
+    empty result. A very long text is scanned whole, in time that grows with its length.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, schema)
