@@ -151,9 +151,12 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    first = rows.filter(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "n", refers.alias("refers_to")).mapInArrow(_write, "archive string, content binary")
+    slim = rows.filter(F.col("n") >= LEAST).select("page_id", "digest")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first IS NOT NULL").drop("copies")
+    # a payload may have a third of all copies: the join by digest carries ids alone, and the pages meet its result by their own id
+    again = slim.distinct().join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("page"), F.col("digest").alias("same"), F.col("first").alias("refers_to"))
+    both = rows.join(again, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    return both.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "n", "refers_to").mapInArrow(_write, "archive string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
