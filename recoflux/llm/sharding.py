@@ -8,12 +8,13 @@ Then the rows are exchanged once, by those boundaries.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 BITS = 8  # of key that a round resolves in each open interval
 TOTAL_BITS = 128
 FINE = 8  # exchange partitions of a shard
@@ -129,7 +130,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.002
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(3), text).alias("h"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("i"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keys = keys.persist()
+    keys = checkpointed(keys)
     cuts = find_cuts(keys.select("h", "i", "size"), n_shards * FINE, tolerance * FINE)
     fine = keys.withColumn("fine", _part(cuts))
     counts = {r.fine: r.n for r in fine.groupBy("fine").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,11 +143,3 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.002
     place = F.row_number().over(Window.partitionBy("fine").orderBy("h", "i", "doc_id", "size"))
     return fine.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("fine") / FINE).cast("int").alias("shard"), (place - 1 + offset).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
-
-def shard_sizes(cuts: list[Cut], keys: list[tuple[int, int, int]]) -> list[int]:
-    """Brute force for tests: the size of each part of (h, i, size) rows."""
-    out = [0] * (len(cuts) + 1)
-    at = [c.parts() for c in cuts]
-    for h, i, size in keys:
-        out[bisect_right(at, (h, i))] += size
-    return out
