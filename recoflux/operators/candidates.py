@@ -47,7 +47,7 @@ def top_k(scored: DataFrame, k: int, by: str = "user_id", order: str = "score")
 def negatives(users: DataFrame, catalog: DataFrame, excluded: DataFrame, n: int = 99, seed: int = 42) -> DataFrame:
     """min(n, available) items of the catalog for each user that excluded (user_id, item_id) doesn't hold, in a seeded order.
 
-    Users and items meet in blocks of the catalog: each block keeps a user's n best, so that no user's whole catalog is held or sorted at once.
+    Users and catalog are cross joined before ranking: for bounded samples of users, not for all of a large corpus.
     """
     pairs = exclude_seen(users.select("user_id").distinct().join(catalog.select("item_id").distinct(), how="cross"), excluded)
     return top_k(pairs.withColumn("score", -arithmetic_hash(seed, F.col("user_id"), F.col("item_id"))), n).drop("score", "rank")
@@ -74,3 +74,35 @@ def relevant(test: DataFrame, threshold: float = 4.0, users: DataFrame | None =
 def matrix(df: DataFrame, row: str, column: str, value: str | None = None) -> DataFrame:
     """Triplets (row, column, value): the sum over duplicates, or their count."""
     return df.groupBy(row, column).agg((F.sum(value) if value else F.count(F.lit(1))).alias("value"))
+
+
+def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null in these columns, or in any."""
+    return df.na.drop("any", subset=list(columns) or None)
+
+
+def text_defaults(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these text columns, "" where a column or a value is missing."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in columns})
+
+
+def user_counts(users: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(user_id, n) for every user, 0 without ratings."""
+    counts = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return users.select("user_id").distinct().join(counts, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def with_group_mean(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """df with the mean of its group beside each row, by a pre-aggregated join: a group may hold a third of all rows."""
+    return df.join(df.groupBy(by).agg(F.avg(value).alias(name)), by, "left")
+
+
+def ordered_pool(rel: DataFrame, neg: DataFrame) -> DataFrame:
+    """(user_id, item_id, pos): relevant items first, then negatives, each by item."""
+    both = rel.select("user_id", "item_id", F.lit(0).alias("part")).unionByName(neg.select("user_id", "item_id", F.lit(1).alias("part")))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("part", "item_id"))).drop("part")
+
+
+def with_titles(recs: DataFrame, items: DataFrame) -> DataFrame:
+    """Recommendations with their titles; an item without one has ""."""
+    return recs.join(items.select("item_id", "title"), "item_id", "left").withColumn("title", F.coalesce("title", F.lit("")))

@@ -71,7 +71,7 @@ def _shares_sql(order: str) -> str:
 
 
 _split("q_leave_last_n", P.leave_last_n, f"WITH {LLO} SELECT {KEYS}, split FROM s")
-_split("q_cold_start", lambda r: P.cold_start(P.leave_last_n(r)), f"WITH {LLO} SELECT {KEYS}, split FROM s WHERE split = 'train' OR (item_id IN (SELECT item_id FROM s WHERE split = 'train') AND user_id IN (SELECT user_id FROM s WHERE split = 'train'))")
+_split("q_cold_start", lambda r: P.cold_start(P.leave_last_n(r)), f"WITH {LLO}, b AS MATERIALIZED (SELECT {KEYS}, split FROM s), ti AS MATERIALIZED (SELECT DISTINCT item_id, 1 AS known_item FROM b WHERE split = 'train'), tu AS MATERIALIZED (SELECT DISTINCT user_id, 1 AS known_user FROM b WHERE split = 'train') SELECT {KEYS}, split FROM b LEFT JOIN ti USING (item_id) LEFT JOIN tu USING (user_id) WHERE split = 'train' OR (known_item = 1 AND known_user = 1)")
 _split("q_temporal_user", P.temporal_user, _shares_sql(TIME))
 _split("q_stratified", P.random_user, _shares_sql(SHUFFLED))
 _split("q_hybrid_stratified", P.banded, f"WITH {RATINGS}, p AS (SELECT *, {POS.format(order=SHUFFLED)} FROM ratings), h AS (SELECT *, CAST(round_even(n * 0.3::DOUBLE, 0) AS INT) AS hold FROM p), b AS (SELECT *, CASE WHEN n >= 6 THEN hold // 2 WHEN n >= 3 THEN 1 ELSE 0 END AS v, CASE WHEN n >= 6 THEN hold - hold // 2 WHEN n >= 2 THEN 1 ELSE 0 END AS t FROM h) SELECT {KEYS}, CASE WHEN pos < n - v - t THEN 'train' WHEN pos < n - t THEN 'val' ELSE 'test' END AS split FROM b")
@@ -152,9 +152,9 @@ def q_numeric_scale(spark, d):
     return X.scale_runtime(A.items(spark, d)).select("item_id", F.round("value", 6).alias("value"))
 
 
-@register()
+@register("WITH v AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS v FROM part), n AS (SELECT least(1000, count(*)) AS n, list(v ORDER BY v) AS l FROM v), t AS (SELECT i, CAST(i AS DOUBLE) / (n - 1) AS ref, CAST(i AS DOUBLE) / (n - 1) * (len(l) - 1) AS place, l FROM n, range(0, 1000) r(i) WHERE i < n), grid AS (SELECT i, ref, l[CAST(floor(place) AS INT) + 1] + (place - floor(place)) * (l[least(CAST(floor(place) AS INT) + 2, len(l))] - l[CAST(floor(place) AS INT) + 1]) AS g FROM t), ends AS (SELECT min(g) AS lo, max(g) AS hi, any_value(n.n) AS n FROM grid, n), x AS (SELECT DISTINCT v FROM v), rl AS (SELECT v, max(CASE WHEN g <= v THEN i END) AS r0, min(CASE WHEN g >= v THEN i END) AS l0 FROM x, grid GROUP BY v), y AS (SELECT v, a.ref + CASE WHEN a.g = v OR a2.g IS NULL THEN 0 ELSE (v - a.g) / (a2.g - a.g) / (n - 1) END AS yr, b.ref - CASE WHEN b.g = v OR b2.g IS NULL THEN 0 ELSE (b.g - v) / (b.g - b2.g) / (n - 1) END AS yl, lo, hi FROM rl CROSS JOIN ends JOIN grid a ON a.i = r0 JOIN grid b ON b.i = l0 LEFT JOIN grid a2 ON a2.i = r0 + 1 LEFT JOIN grid b2 ON b2.i = l0 - 1) SELECT item_id, round(CASE WHEN v = lo THEN 0 WHEN v = hi THEN 1 ELSE 0.5 * (yr + yl) END, 5) AS value FROM v JOIN y USING (v)")
 def q_quantile_year(spark, d):
-    return X.quantile_uniform(A.items(spark, d)).select("item_id", F.round("value", 6).alias("value"))
+    return X.quantile_uniform(A.items(spark, d)).select("item_id", F.round("value", 5).alias("value"))
 
 
 @register("WITH m AS (SELECT lower(trim(p_brand)) AS name, avg(p_retailprice) AS m FROM part GROUP BY 1), l AS (SELECT name, CASE WHEN m > 0 THEN ln(1 + m) ELSE 0 END AS v FROM m) SELECT p_partkey AS item_id, round((v - (SELECT min(v) FROM l)) / ((SELECT max(v) FROM l) - (SELECT min(v) FROM l)), 6) AS value FROM part JOIN l ON lower(trim(p_brand)) = name")
@@ -197,16 +197,21 @@ def q_hybrid_blend(spark, d):
     return MD.Hybrid(MD.Popularity.fit(r), m, 0.3).score(pairs).select("user_id", "item_id", F.round("score", 5).alias("score"))
 
 
-@register()
+PAIRS = "pairs AS (SELECT DISTINCT user_id, item_id FROM ratings), cb AS (SELECT user_id, item_id, 0.95 * coalesce(dot, 0) + 0.05 * pop AS b FROM {} JOIN pn USING (item_id) LEFT JOIN dots USING (user_id, item_id))"
+
+
+@register(f"WITH {CONTENT}, {PAIRS.format('pairs')}, g AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS a FROM ratings GROUP BY 1), w AS (SELECT user_id, item_id, a, b, min(a) OVER u AS a0, max(a) OVER u AS a1, min(b) OVER u AS b0, max(b) OVER u AS b1 FROM cb JOIN g USING (item_id) WINDOW u AS (PARTITION BY user_id)) SELECT user_id, item_id, round(0.5 * CASE WHEN a1 > a0 THEN (a - a0) / (a1 - a0) ELSE 0 END + 0.5 * CASE WHEN b1 > b0 THEN (b - b0) / (b1 - b0) ELSE 0 END, 5) AS score FROM w")
 def q_hybrid_minmax(spark, d):
     m, r = _content(spark, d)
-    return MD.Hybrid(MD.Popularity.fit(r), m, 0.5, normalize=True).score(r.select("user_id", "item_id").distinct())
+    out = MD.Hybrid(MD.Popularity.fit(r), m, 0.5, normalize=True).score(r.select("user_id", "item_id").distinct())
+    return out.select("user_id", "item_id", F.round("score", 5).alias("score"))
 
 
-@register()
+@register(f"WITH {CONTENT}, g AS (SELECT item_id, count(*) AS a FROM ratings GROUP BY 1), fr AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY a DESC, item_id) AS place FROM (SELECT DISTINCT user_id FROM ratings) CROSS JOIN g ANTI JOIN (SELECT DISTINCT user_id, item_id FROM ratings) USING (user_id, item_id)), few AS (SELECT * FROM fr WHERE place <= 50), {PAIRS.format('few')}, r AS (SELECT user_id, b, row_number() OVER (PARTITION BY user_id ORDER BY b DESC, place) AS rank FROM cb JOIN few USING (user_id, item_id)) SELECT user_id, rank, round(b, 5) AS score FROM r WHERE rank <= 10")
 def q_cascade(spark, d):
     m, r = _content(spark, d)
-    return MD.Cascade(MD.Popularity.fit(r), m, 50).recommend(r.select("user_id"), 10, r)
+    out = MD.Cascade(MD.Popularity.fit(r), m, 50).recommend(r.select("user_id"), 10, r)
+    return out.select("user_id", "rank", F.round("score", 5).alias("score"))
 
 
 def _als(spark, d):
