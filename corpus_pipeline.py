@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("secret scans", secret_spans), ("sentencepiece", tokens)]
 
-#: No SQL expresses the Jaccard components or the Viterbi stage; the operators are held against brute force one by one, run() as a whole not yet.
+#: No SQL expresses the Jaccard components or the merge path; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
