@@ -106,3 +106,27 @@ def ordered_pool(rel: DataFrame, neg: DataFrame) -> DataFrame:
 def with_titles(recs: DataFrame, items: DataFrame) -> DataFrame:
     """Recommendations with their titles; an item without one has ""."""
     return recs.join(items.select("item_id", "title"), "item_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+
+
+def prefixed(df: DataFrame, prefix: str) -> list[str]:
+    """The names of the columns with a prefix, in their order."""
+    return [c for c in df.columns if c.startswith(prefix)]
+
+
+def union_all(*frames: DataFrame) -> DataFrame:
+    """All rows of all frames; a column that some frame lacks is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder that the session names; a temporary one only in local mode, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/recoflux-checkpoints")
+    return df.checkpoint()

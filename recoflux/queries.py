@@ -152,7 +152,7 @@ def q_numeric_scale(spark, d):
     return X.scale_runtime(A.items(spark, d)).select("item_id", F.round("value", 6).alias("value"))
 
 
-@register("WITH v AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS v FROM part), n AS (SELECT least(1000, count(*)) AS n, list(v ORDER BY v) AS l FROM v), t AS (SELECT i, CAST(i AS DOUBLE) / (n - 1) AS ref, CAST(i AS DOUBLE) / (n - 1) * (len(l) - 1) AS place, l FROM n, range(0, 1000) r(i) WHERE i < n), grid AS (SELECT i, ref, l[CAST(floor(place) AS INT) + 1] + (place - floor(place)) * (l[least(CAST(floor(place) AS INT) + 2, len(l))] - l[CAST(floor(place) AS INT) + 1]) AS g FROM t), ends AS (SELECT min(g) AS lo, max(g) AS hi, any_value(n.n) AS n FROM grid, n), x AS (SELECT DISTINCT v FROM v), rl AS (SELECT v, max(CASE WHEN g <= v THEN i END) AS r0, min(CASE WHEN g >= v THEN i END) AS l0 FROM x, grid GROUP BY v), y AS (SELECT v, a.ref + CASE WHEN a.g = v OR a2.g IS NULL THEN 0 ELSE (v - a.g) / (a2.g - a.g) / (n - 1) END AS yr, b.ref - CASE WHEN b.g = v OR b2.g IS NULL THEN 0 ELSE (b.g - v) / (b.g - b2.g) / (n - 1) END AS yl, lo, hi FROM rl CROSS JOIN ends JOIN grid a ON a.i = r0 JOIN grid b ON b.i = l0 LEFT JOIN grid a2 ON a2.i = r0 + 1 LEFT JOIN grid b2 ON b2.i = l0 - 1) SELECT item_id, round(CASE WHEN v = lo THEN 0 WHEN v = hi THEN 1 ELSE 0.5 * (yr + yl) END, 5) AS value FROM v JOIN y USING (v)")
+@register("WITH v AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS v FROM part), n AS (SELECT least(1000, count(*)) AS n, list(v ORDER BY v) AS l FROM v), t AS (SELECT i, CAST(i AS DOUBLE) / (n - 1) AS ref, (i * (len(l) - 1)) // (n - 1) AS place, CAST((i * (len(l) - 1)) % (n - 1) AS DOUBLE) / (n - 1) AS beyond, l FROM n, range(0, 1000) r(i) WHERE i < n), grid AS (SELECT i, ref, l[place + 1] + beyond * (l[least(place + 2, len(l))] - l[place + 1]) AS g FROM t), ends AS (SELECT min(g) AS lo, max(g) AS hi, any_value(n.n) AS n FROM grid, n), x AS (SELECT DISTINCT v FROM v), rl AS (SELECT v, max(CASE WHEN g <= v THEN i END) AS r0, min(CASE WHEN g >= v THEN i END) AS l0 FROM x, grid GROUP BY v), y AS (SELECT v, a.ref + CASE WHEN a.g = v OR a2.g IS NULL THEN 0 ELSE (v - a.g) / (a2.g - a.g) / (n - 1) END AS yr, b.ref - CASE WHEN b.g = v OR b2.g IS NULL THEN 0 ELSE (b.g - v) / (b.g - b2.g) / (n - 1) END AS yl, lo, hi FROM rl CROSS JOIN ends JOIN grid a ON a.i = r0 JOIN grid b ON b.i = l0 LEFT JOIN grid a2 ON a2.i = r0 + 1 LEFT JOIN grid b2 ON b2.i = l0 - 1) SELECT item_id, round(CASE WHEN v = lo THEN 0 WHEN v = hi THEN 1 ELSE 0.5 * (yr + yl) END, 5) AS value FROM v JOIN y USING (v)")
 def q_quantile_year(spark, d):
     return X.quantile_uniform(A.items(spark, d)).select("item_id", F.round("value", 5).alias("value"))
 
