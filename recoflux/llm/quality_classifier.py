@@ -107,7 +107,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in C.pieces(batch.column(1)):
             x = features(raw, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["positive", "h", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3)), pa.array(list(x), pa.list_(pa.float64()))], names=["positive", "h", "unlabelled", "x"])
 
 
 def held_out(doc_id):
@@ -124,17 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[M
     marks = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("mark"))
     pool = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     dealt = F.xxhash64(F.lit(17), "doc_id")
-    n = max(1, pool.count())
-    near = lambda k: F.abs(dealt % 1_000_000) < int(1_000_000 * min(1.0, 2.0 * k / n))
-    some = pool.filter(near(rows * 4)).join(marks, "doc_id", "left")
-    mark = F.coalesce(F.col("mark"), F.lit(0))
+    share = min(1.0, 2.0 * rows / max(1, pool.count()))
+    sampled = F.shiftrightunsigned(dealt, 1) <= F.lit(min(2**63 - 1, int(2**63 * share)))
+    # ids alone are joined and sorted; at most `rows` of them are broadcast to the texts
+    trusted = marks.filter("mark = 1").join(pool.select("doc_id"), "doc_id", "left_semi").orderBy(dealt, "doc_id").limit(rows).select("doc_id", F.lit(True).alias("positive"))
+    some = pool.join(F.broadcast(trusted), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
     # unlabelled: a plain sample of the pool, whatever its labels, so that it follows the whole corpus
-    positive = some.filter(mark == 1).select(F.lit(True).alias("positive"), "text", dealt.alias("h"))
-    unlabelled = pool.filter(near(rows)).select(F.lit(False).alias("positive"), "text", dealt.alias("h"))
-    # features first: what is sorted and taken is a few numbers a row, not its text
-    made = positive.unionByName(unlabelled).mapInArrow(_features_of, "positive boolean, h long, x array<double>")
-    got = [r for k in (True, False) for r in made.filter(F.col("positive") == k).orderBy("h", "x").limit(rows).collect()]
-    p, u = (np.array([r.x for r in got if r.positive == k]) for k in (True, False))
+    some = some.select("positive", "text", dealt.alias("h"), sampled.alias("unlabelled")).filter("positive or unlabelled")
+    made = C.checkpointed(some.mapInArrow(_features_of, "positive boolean, h long, unlabelled boolean, x array<double>"))
+    p, u = ([r.x for r in made.filter(k).orderBy("h", "x").select("x").limit(rows).collect()] for k in ("positive", "unlabelled"))
+    p, u = np.array(p), np.array(u)
     if not len(p) or not len(u):
         width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros((KNOTS, width)), np.zeros(width * (KNOTS + 1)), 0.0), 0.5
