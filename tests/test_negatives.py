@@ -1,7 +1,11 @@
 import random
 
+from pyspark.sql import functions as F
+
 from recoflux.functions.scalars import PRIME
 from recoflux.operators import candidates as C
+from recoflux.plans import evaluate as E
+from recoflux.plans import models as MD
 
 
 def order(seed, u, i):
@@ -35,3 +39,20 @@ def test_negatives_of_null_ids(spark):
 def test_negatives_do_not_cross_users_and_items(spark):
     u, i = spark.range(40_000).withColumnRenamed("id", "user_id"), spark.range(40_000).withColumnRenamed("id", "item_id")
     assert C.negatives(u, i, spark.createDataFrame([], "user_id long, item_id long"), 2).count() == 80_000  # 1.6 billion pairs before
+
+
+def test_lists_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    class Counted(MD.Model):
+        def recommend(self, users, k, seen=None, candidates=None):
+            def one(x):
+                made.add(1)
+                return x
+
+            item = F.udf(one, "long").asNondeterministic()("user_id")
+            return users.distinct().select("user_id", item.alias("item_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    ratings = spark.createDataFrame([(u, u, 5.0) for u in range(7)], "user_id long, item_id long, rating double")
+    rows = E.evaluate({"m": Counted()}, ratings, ratings, ks=(1, 2), most=2, n_negatives=3).collect()
+    assert [r.recall for r in rows] == [1.0, 1.0] and made.value == 7
