@@ -1,8 +1,30 @@
 import __spark_entry__
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from recoflux.operators import candidates as C
+from recoflux.plans import models as MD
 
-@pytest.mark.parametrize("name", ["q_ordered_pool"])
+
+@pytest.mark.parametrize("name", ["content"])
+def test_lists_equal_scored_pairs(spark, monkeypatch, name):
+    rng = np.random.default_rng(5)  # 40 items in six kinds of equal rows, one without a row; user 9 has no profile
+    rows = [(int(u), int(i), float(rng.choice([3.0, 4.0, 5.0]))) for u in range(8) for i in rng.choice(39, 3 + u, replace=False)]
+    ratings = C.landed(spark.createDataFrame(rows + [(0, i, 3.0) for i in range(0, 39, 2)], "user_id long, item_id long, rating double").coalesce(1))
+    features = C.landed(spark.createDataFrame([(i, f"word{(i + j * j) % 6}", 0.8 - 0.2 * j) for i in range(39) for j in range(2)], "item_id long, feature string, value double").coalesce(1))
+    users = spark.createDataFrame([(u,) for u in [*range(8), 9]], "user_id long").coalesce(1)
+    m = MD.Content.fit(features, ratings)
+    m = m if name == "content" else MD.Hybrid(MD.Popularity.fit(ratings), m, 0.3)
+    pairs = C.exclude_seen(users.join(m.items(), how="cross"), ratings)
+    lists = lambda df: {(r.user_id, r["rank"]): (r.item_id, round(r.score, 9)) for r in df.collect()}
+    plain = lists(C.top_k(m.score(pairs).withColumn("score", F.round("score", 9)), 12))
+    monkeypatch.setattr(MD.Model, "recommend", None)  # all pairs are not an option
+    monkeypatch.setattr(C, "exclude_seen", None)  # nor are blocks
+    assert lists(m.recommend(users, 12, ratings)) == plain and len(plain) > 90
+
+
+@pytest.mark.parametrize("name", ["q_ordered_pool", "q_content_topk"])
 def test_ratings_are_landed_once(spark, name):
     files = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [x for x in files if "lineitem" in x]
