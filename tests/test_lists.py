@@ -7,7 +7,7 @@ from recoflux.operators import candidates as C
 from recoflux.plans import models as MD
 
 
-@pytest.mark.parametrize("name", ["content"])
+@pytest.mark.parametrize("name", ["content", "hybrid"])
 def test_lists_equal_scored_pairs(spark, monkeypatch, name):
     rng = np.random.default_rng(5)  # 40 items in six kinds of equal rows, one without a row; user 9 has no profile
     rows = [(int(u), int(i), float(rng.choice([3.0, 4.0, 5.0]))) for u in range(8) for i in rng.choice(39, 3 + u, replace=False)]
