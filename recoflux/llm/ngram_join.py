@@ -139,7 +139,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(described: DataFrame) -> tuple[np.ndarray, float]:
     """The power of two of each summed counter, 2 ** SKETCH_BITS bytes whatever the input, and the mean count."""
     out, total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8), 0.0
-    parts = described.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary")
+    parts = described.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(C.lean(_add), "slice int, counts binary")
     for r in parts.toLocalIterator():
         x = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint32)
         out[r.slice] = np.frexp(x.astype(np.float32))[1]
@@ -410,7 +410,7 @@ def _led_links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     leads = many.select(F.col("lead").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     rows = members.unionByName(leads).join(bodies.select("node", "z"), "node")
     dealt = rows.repartition(C.shuffle_partitions(spark), "lead", "salt").sortWithinPartitions("lead", "salt", F.col("node") != F.col("lead"))
-    return dealt.select("lead", "node", "z").mapInArrow(_verify, "a long, b long")
+    return dealt.select("lead", "node", "z").mapInArrow(C.lean(_verify), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, rare_most: int = RARE_MOST) -> DataFrame:
@@ -428,7 +428,7 @@ def ngram_join(docs: DataFrame, rare_most: int = RARE_MOST) -> DataFrame:
     folder, parts = f"{C.shared_folder(spark)}/{name}", C.shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     try:
-        texts.mapInArrow(_describe, _TABLE).repartition(parts, "bk").write.partitionBy("kind").bucketBy(parts, "bk").option("path", folder).saveAsTable(name)
+        texts.mapInArrow(C.lean(_describe), _TABLE).repartition(parts, "bk").write.partitionBy("kind").bucketBy(parts, "bk").option("path", folder).saveAsTable(name)
         table = spark.table(name)
         out = C.checkpointed(_joined(spark, table, parts, rare_most))
     finally:
@@ -448,8 +448,8 @@ def _joined(spark, table: DataFrame, parts: int, rare_most: int) -> DataFrame:
     links = C.checkpointed(_led_links(pairs, bodies))
     label = components(links)
     indexed = bodies.select("node", "z").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "z")
-    entries = indexed.mapInArrow(_index(sketch, frequent, 2 * parts), "part int, entries binary")
-    groups = entries.repartition(2 * parts, "part").mapInArrow(_groups, "key long, node long, label long, probe boolean")
+    entries = indexed.mapInArrow(C.lean(_index(sketch, frequent, 2 * parts)), "part int, entries binary")
+    groups = entries.repartition(2 * parts, "part").mapInArrow(C.lean(_groups), "key long, node long, label long, probe boolean")
     marked = C.checkpointed(groups.dropDuplicates(["key", "node"]))
     # each set against one of its key's that is of another component: most links that are left show there, once for each pair
     first = marked.groupBy("key").agg(F.min(F.struct("probe", F.xxhash64("node"), "node", "label")).alias("x")).select("key", F.col("x.node").alias("lead"), F.col("x.label").alias("other"))
@@ -467,9 +467,9 @@ def _joined(spark, table: DataFrame, parts: int, rare_most: int) -> DataFrame:
     rest = rest.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "label", "probe")
     group = ["key", "p", "q"]
     rest = rest.join(bodies.select("node", "n", "hist"), "node").select(*group, "node", "label", "probe", "n", "hist").repartition(parts, *group).sortWithinPartitions(*group)
-    rest = C.checkpointed(rest.mapInArrow(_possible, "key long, p int, q int, node long, label long, probe boolean").dropDuplicates(["key", "node"]))
+    rest = C.checkpointed(rest.mapInArrow(C.lean(_possible), "key long, p int, q int, node long, label long, probe boolean").dropDuplicates(["key", "node"]))
     rest = rest.join(bodies.select("node", "z"), "node").select(*group, "node", "label", "probe", "z").repartition(parts, *group).sortWithinPartitions(*group)
-    more = C.checkpointed(rest.mapInArrow(_exact, "a long, b long"))
+    more = C.checkpointed(rest.mapInArrow(C.lean(_exact), "a long, b long"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     whole = rows.join(label, "node", "left").withColumn("part", F.coalesce("label", "node"))

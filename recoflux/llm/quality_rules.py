@@ -107,7 +107,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     fails. Counts cover whole texts. The sample (SAMPLE_ROWS rows) only orders the rules. A null doc_id stays; an empty table gives an empty result.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge(ordered(docs, rules), True), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(_judge(ordered(docs, rules), True)), schema)
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -119,4 +119,4 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
             for a, b, raw, offsets in C.pieces(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(cascade(raw, offsets, chosen) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

@@ -164,7 +164,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     empty result. A very long text is scanned whole, in time that grows with its length.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(C.lean(_scan), schema)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -193,4 +193,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 columns[chars] = pa.array(counts, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

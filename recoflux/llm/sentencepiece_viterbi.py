@@ -258,7 +258,7 @@ def encode(docs: DataFrame, model: str = MODEL, with_tokens: bool = True) -> Dat
     out = type(schema)(schema.fields[: len(rest)])
     for c in names:
         out = out.add(c, kinds[c])
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(C.lean(run), out)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
